@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qirtas.llm import forms, truncation
+from qirtas.llm import canonical, forms, truncation
 from qirtas.runtime import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    entries = table(spark, folder, "canon_values")
+    values = canonical.entered_values(table(spark, folder, "parties"), table(spark, folder, "receipts"), entries)
+    return canonical.matched(values, entries).select("receipt_id", "side", "field", "canon_id").distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return forms.disguised(table(spark, folder, "ocr_lines")).select("receipt_id", "line_no", "field", "pos").distinct()
 
@@ -21,5 +27,5 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.rates(truncation.judged(table(spark, folder, "documents")))
 
 
-QUERIES = {"p4_found": p4_found, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p9_found": p9_found, "p9_rates": p9_rates}
 ORACLE: dict[str, str] = {}
