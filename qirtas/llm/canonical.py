@@ -76,7 +76,7 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
-def _edits(a: str, b: str) -> int:
+def edits(a: str, b: str) -> int:
     """Edit distance with transpositions of neighbours."""
     before, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -109,7 +109,7 @@ def token_similarity(a: str, b: str) -> float:
         return 0.74
     if min(len(a), len(b)) < 3:
         return 0.0
-    sim = 1 - _edits(_plainer(a), b) / max(len(a), len(b))
+    sim = 1 - edits(_plainer(a), b) / max(len(a), len(b))
     return sim if sim >= TOKEN_SIM else 0.0
 
 
@@ -238,7 +238,7 @@ class Matcher:
         if self.codes:
             # a code with two neighbouring letters exchanged
             for t in {joined, *tokens}:
-                near = {c for code, c in self.codes.items() if len(t) == 3 and sorted(t) == sorted(code) and _edits(t, code) == 1}
+                near = {c for code, c in self.codes.items() if len(t) == 3 and sorted(t) == sorted(code) and edits(t, code) == 1}
                 if joined in self.codes:
                     return self.codes[joined]
                 if len(near) == 1:
@@ -249,7 +249,7 @@ class Matcher:
         found = self.mention(" ".join(tokens)) or self.similar(tokens)
         if found:
             return found
-        near = sorted((_edits(_plainer(joined), s) / max(len(s), len(joined)), c) for s, c in self.squashed.items() if abs(len(s) - len(joined)) <= 3) if len(joined) >= 6 else []
+        near = sorted((edits(_plainer(joined), s) / max(len(s), len(joined)), c) for s, c in self.squashed.items() if abs(len(s) - len(joined)) <= 3) if len(joined) >= 6 else []
         best = {c for d, c in near if d <= 0.2 and d == near[0][0]}
         return best.pop() if len(best) == 1 else 0
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qirtas.llm import canonical, forms, truncation
+from qirtas.llm import canonical, forms, pii, truncation
 from qirtas.runtime import table
 
 
@@ -14,6 +14,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.matched(values, entries).select("receipt_id", "side", "field", "canon_id").distinct()
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.found_types(table(spark, folder, "receipt_analyses")).distinct()
+
+
+def p3_sanitised(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.sanitised(table(spark, folder, "receipt_analyses"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return forms.disguised(table(spark, folder, "ocr_lines")).select("receipt_id", "line_no", "field", "pos").distinct()
 
@@ -27,5 +35,5 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.rates(truncation.judged(table(spark, folder, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p4_found": p4_found, "p9_found": p9_found, "p9_rates": p9_rates}
 ORACLE: dict[str, str] = {}
