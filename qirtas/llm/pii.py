@@ -31,6 +31,8 @@ TRADE_WORDS = set(
     "شركة شركه مخبز مخابز صيدلية صيدليه للتجارة للتجاره للإلكترونيات للالكترونيات إلكترونيات الكترونيات للاستيراد والتصدير استيراد تصدير "
     "مجموعة مجموعه وأولاده واولاده وشركاه محل مصنع مطعم بنك مصرف محفظة محفظه للتمويل للائتمان باي كاش صندوق".split()
 )
+#: Words that are spelt like a name but are a preposition: "on".
+NEVER_ALONE = {"على"}
 #: Words before a place or street name.
 PLACE_WORDS = ["Ezbet", "Tell", "Bab el", "New", "Old", "Kafr", "Mit", "عزبة", "عزبه", "تل", "باب", "كفر", "ميت", "حي"]
 STREET_AFTER = r"(?:st|street|str|rd|road|ave|avenue|blvd|sq|square|lane)"
@@ -140,7 +142,7 @@ def name_words(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int,
             words = [(s + phrase.start() + m.start(), s + phrase.start() + m.end(), m[0]) for m in _WORD.finditer(phrase[0])]
             if any(is_trade(w.lower().translate(_FOLD)) for _, _, w in words) or "*" in phrase[0]:
                 continue
-            out += [(a, b, term(w)) for a, b, w in words if len(w) > 1]
+            out += [(a, b, term(w)) for a, b, w in words if len(w) > 1 and w not in NEVER_ALONE]
     return out
 
 
