@@ -26,7 +26,7 @@ from qirtas.runtime import written
 #: Words of trades and legal forms: a phrase with one of them names an organisation.
 TRADE_WORDS = set(
     "bakery trading trdg trade co company corp inc llc ltd electronics elec electronic pharmacy pharm import export imp exp group sons "
-    "s.a.e sae bros brothers stores store market shop est establishment factory restaurant cafe hotel clinic hospital school office fund "
+    "s.a.e sae bros brothers stores store market shop est establishment factory restaurant "
     "bank banque bk bnk trust credit finance microfinance wallet pay cash money transfer express bills gifts remit giro mutual union "
     "شركة شركه مخبز مخابز صيدلية صيدليه للتجارة للتجاره للإلكترونيات للالكترونيات إلكترونيات الكترونيات للاستيراد والتصدير استيراد تصدير "
     "مجموعة مجموعه وأولاده واولاده وشركاه محل مصنع مطعم بنك مصرف محفظة محفظه للتمويل للائتمان باي كاش صندوق".split()

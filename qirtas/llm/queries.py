@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qirtas.llm import canonical, forms, pii, truncation
+from qirtas.llm import canonical, forms, names, pii, truncation
 from qirtas.runtime import table
 
 
@@ -14,6 +14,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.matched(values, entries).select("receipt_id", "side", "field", "canon_id").distinct()
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.pairs(names.linked(table(spark, folder, "parties"))).distinct()
+
+
+def p2_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """party_id, name, entity of every row whose name can be read."""
+    return names.linked(table(spark, folder, "parties"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pii.found_types(table(spark, folder, "receipt_analyses")).distinct()
 
@@ -35,5 +44,5 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.rates(truncation.judged(table(spark, folder, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p4_found": p4_found, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p4_found": p4_found, "p9_found": p9_found, "p9_rates": p9_rates}
 ORACLE: dict[str, str] = {}
