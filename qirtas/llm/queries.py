@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qirtas.llm import canonical, forms, names, pii, truncation
+from qirtas.llm import canonical, forms, mixing, names, packing, pii, tokens, truncation
 from qirtas.runtime import table
 
 
@@ -35,6 +35,23 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return forms.disguised(table(spark, folder, "ocr_lines")).select("receipt_id", "line_no", "field", "pos").distinct()
 
 
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    sized = tokens.with_tokens(table(spark, folder, "documents").select("doc_id", "text"))
+    return packing.packed(sized, table(spark, folder, "pack_sizes"))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(p7_packed(spark, folder), table(spark, folder, "pack_sizes"))
+
+
+def p8_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(p8_mixed(spark, folder), table(spark, folder, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.judged(table(spark, folder, "documents")).where("cut").select("doc_id").distinct()
 
@@ -44,5 +61,5 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.rates(truncation.judged(table(spark, folder, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p4_found": p4_found, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p4_found": p4_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
 ORACLE: dict[str, str] = {}
