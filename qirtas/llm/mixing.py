@@ -3,7 +3,7 @@
 Iterative proportional fitting rakes the expected copies of the documents of each cell (source, language, topic) to the
 sources' target shares and to the corpus' own shares of languages and topics, under each source's most repeats. The total is
 the largest for which every source can give its share. Documents are then drawn by a hash under a threshold calibrated on
-the tokens really drawn, so that the shares are met to within about a document a cell and a rerun draws the same.
+the tokens really drawn, so that the shares are met to within about a document a source and a rerun draws the same.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from qirtas.runtime import written
 #: Languages and topics with a marginal of their own; the rest of each together has one. They bound the cells that are raked.
 MAX_LANGUAGES, MAX_TOPICS = 32, 64
 ITERATIONS = 30
-#: The hash has 2 ** (2 * HALF) values; the threshold is found one half of the bits at a time.
-HALF = 10
+#: Ranks have 2 * HALF bits; the threshold is found one half of them at a time.
+HALF = 12
 
 
 def topic_of(text: F.Column) -> F.Column:
@@ -93,16 +93,16 @@ def expected(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABUL
     there = np.bincount(codes[0], weights=tokens)
     total = float(np.min(np.where(share > 0, repeats * there / np.maximum(share, 1e-12), np.inf)))
     goals = [share * total] + [np.bincount(c, weights=tokens) / tokens.sum() * total for c in codes[1:]]
-    cells["copies"] = rake(tokens, codes, goals, repeats[codes[0]])
+    # rounded, so that a cell at its cap is not drawn once more
+    cells["copies"] = np.round(rake(tokens, codes, goals, repeats[codes[0]]), 6)
     return docs, spark.createDataFrame(cells[["source", "lang", "topic", "copies"]], schema)
 
 
 def _threshold(weights: DataFrame, bits: str, before: str, name: str) -> DataFrame:
-    """cell, name, before: the last value of `bits` at which the tokens so far are still below the cell's goal."""
-    cell = ["source", "lang", "topic"]
-    run = weights.groupBy(*cell, bits, "goal", before).agg(F.sum("tokens").alias("t"))
-    so_far = F.col(before) + F.sum("t").over(W.partitionBy(*cell).orderBy(bits)) - F.col("t")
-    return run.withColumn("so_far", so_far).where(F.col("so_far") < F.col("goal")).groupBy(*cell, "goal").agg(F.max(bits).alias(name), F.max("so_far").alias("reached"))
+    """source, name, reached: the last value of `bits` at which the tokens so far are still below the source's goal."""
+    run = weights.groupBy("source", bits, "goal", before).agg(F.sum("tokens").alias("t"))
+    so_far = F.col(before) + F.sum("t").over(W.partitionBy("source").orderBy(bits)) - F.col("t")
+    return run.withColumn("so_far", so_far).where(F.col("so_far") < F.col("goal")).groupBy("source", "goal").agg(F.max(bits).alias(name), F.max("so_far").alias("reached"))
 
 
 def mixed(documents: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -113,18 +113,20 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: s
     times.
     """
     docs, cells = expected(documents, targets, vocabulary)
-    cell = ["source", "lang", "topic"]
-    u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << (2 * HALF))).cast("int")
-    d = written(docs.withColumn("u", u).withColumn("high", F.shiftright("u", HALF)).withColumn("low", F.col("u") % (1 << HALF)).join(F.broadcast(cells), cell), "drawn-from")
-    goal = d.groupBy(*cell, "copies").agg(F.sum("tokens").alias("all")).select(*cell, ((F.col("copies") - F.floor("copies")) * F.col("all")).alias("goal"))
-    d = d.join(goal, cell)
-    high = _threshold(d.withColumn("zero", F.lit(0).cast("bigint")), "high", "zero", "cut").select(*cell, F.col("cut").alias("high_cut"), F.col("reached").alias("high_reached"))
-    near = d.join(high, cell).where(F.col("high") == F.col("high_cut"))
-    low = _threshold(near, "low", "high_reached", "cut").select(*cell, F.col("cut").alias("low_cut"), F.col("reached").alias("low_reached"))
-    at_cut = near.join(low, cell).where(F.col("low") == F.col("low_cut")).groupBy(*cell).agg(F.sum("tokens").alias("at_cut"))
-    # the value at the threshold is drawn too if that comes nearer to the goal
-    cuts = high.join(low, cell).join(at_cut, cell).join(goal, cell).select(*cell, "high_cut", "low_cut", (F.col("low_reached") + F.col("at_cut") - F.col("goal") <= F.col("goal") - F.col("low_reached")).alias("with_cut"))
-    drawn = d.join(cuts, cell, "left")
+    part = F.col("copies") - F.floor("copies")
+    # a document is drawn once more if its hash, as a share of its probability, is below its source's threshold of about 1
+    u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << (2 * HALF - 2)))
+    rank = F.when(part > 1e-9, F.least(F.floor(u / part), F.lit((1 << (2 * HALF)) - 1))).cast("int")
+    d = written(docs.join(F.broadcast(cells), ["source", "lang", "topic"]).withColumn("part", part).withColumn("u", rank).withColumn("high", F.shiftright("u", HALF)).withColumn("low", F.col("u") % (1 << HALF)), "drawn-from")
+    goal = d.groupBy("source").agg(F.sum(F.col("part") * F.col("tokens")).alias("goal"))
+    open_ = d.where(F.col("u").isNotNull()).join(F.broadcast(goal), "source")
+    high = _threshold(open_.withColumn("zero", F.lit(0).cast("bigint")), "high", "zero", "cut").select("source", F.col("cut").alias("high_cut"), F.col("reached").alias("high_reached"))
+    near = open_.join(F.broadcast(high), "source").where(F.col("high") == F.col("high_cut"))
+    low = _threshold(near, "low", "high_reached", "cut").select("source", F.col("cut").alias("low_cut"), F.col("reached").alias("low_reached"))
+    at_cut = near.join(F.broadcast(low), "source").where(F.col("low") == F.col("low_cut")).groupBy("source").agg(F.sum("tokens").alias("at_cut"))
+    # the documents at the threshold are drawn too if that comes nearer to the goal
+    cuts = high.join(low, "source").join(at_cut, "source").join(goal, "source").select("source", "high_cut", "low_cut", (F.col("low_reached") + F.col("at_cut") - F.col("goal") <= F.col("goal") - F.col("low_reached")).alias("with_cut"))
+    drawn = d.join(F.broadcast(cuts), "source", "left")
     below = (F.col("high") < F.col("high_cut")) | (F.col("high") == F.col("high_cut")) & ((F.col("low") < F.col("low_cut")) | (F.col("low") == F.col("low_cut")) & F.col("with_cut"))
     copies = F.floor("copies") + F.coalesce(below, F.lit(False)).cast("int")
     return drawn.select("doc_id", "source", "tokens", copies.cast("int").alias("copies")).where("copies > 0")
