@@ -40,10 +40,32 @@ class DeliveryIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, prefixes: int = 64, fan_in: int = 4):
+        """path: where the index lives; one that exists there already is gone on with. Without it the index is a new one
+        for this session."""
         self.spark, self.prefixes, self.fan_in = spark, prefixes, fan_in
-        self.path = path or new_path(spark, "deliveries")
+        self.lasting = path is not None
+        self.path = (path or new_path(spark, "deliveries")).rstrip("/")
         self.runs: list[str] = []
-        self._made = 0
+        self.batches: set[int] = set()
+        self._made = self._saved = 0
+        if self.lasting:
+            self._load()
+
+    def _load(self) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        found = hadoop.Path(f"{self.path}/manifest-*/_SUCCESS")
+        fs = found.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = sorted(x.getPath().getParent().getName() for x in fs.globStatus(found) or [])
+        if names:
+            row = self.spark.read.schema("runs array<string>, batches array<bigint>, made int").json(f"{self.path}/{names[-1]}").first()
+            self.runs, self.batches, self._made, self._saved = list(row["runs"]), set(row["batches"]), row["made"], int(names[-1][9:])
+
+    def _save(self) -> None:
+        """Write what the index consists of; a manifest is never changed, the last whole one counts."""
+        if self.lasting:
+            self._saved += 1
+            row = self.spark.createDataFrame([(self.runs, sorted(self.batches), self._made)], "runs array<string>, batches array<bigint>, made int")
+            row.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest-{self._saved:08d}")
 
     def _run_path(self) -> str:
         self._made += 1
@@ -63,7 +85,7 @@ class DeliveryIndex:
                 yield pd.DataFrame({"prefix": [key[0]], "ids": [own[k : k + BLOCK_IDS].tolist()]})
 
         path = self._run_path()
-        ids.groupBy("prefix").applyInPandas(blocks, RUN_SCHEMA).write.parquet(path)
+        ids.groupBy("prefix").applyInPandas(blocks, RUN_SCHEMA).write.mode("overwrite").parquet(path)
         self.runs.append(path)
 
     def merge_runs(self) -> None:
@@ -78,8 +100,23 @@ class DeliveryIndex:
                 raise
 
     def ingest(self, rows: DataFrame, channel: Column, identifier: Column, order: list[Column], key: str) -> DataFrame:
-        """Add a batch; return one row per identifier of it: channel, identifier, n (copies in the batch), known (delivered
-        in an earlier batch), and key of the copy that comes first by order, nulls first, then by key.
+        """look_up, then add: for batches whose result needs no writing before they count as seen."""
+        seen = self.look_up(rows, channel, identifier, order, key)
+        self.add(seen)
+        return seen.drop("prefix", "full_id")
+
+    def add(self, seen: DataFrame, batch: int | None = None) -> None:
+        """Make the novel identifiers of a look_up known. batch: its number, remembered in self.batches."""
+        self._write(seen.where(~F.col("known")).select("prefix", "full_id"))
+        if len(self.runs) >= self.fan_in:
+            self.merge_runs()
+        if batch is not None:
+            self.batches.add(batch)
+        self._save()
+
+    def look_up(self, rows: DataFrame, channel: Column, identifier: Column, order: list[Column], key: str) -> DataFrame:
+        """One row per identifier of a batch: channel, identifier, n (copies in the batch), known (delivered in an earlier
+        batch), and key of the copy that comes first by order, nulls first, then by key; stored, with prefix and full_id.
 
         Rows with a null identifier are not in the result: nothing says that they are copies. A null channel is a channel
         of its own. Identifiers are compared exactly, the empty one included.
@@ -92,17 +129,13 @@ class DeliveryIndex:
             .agg(F.count(F.lit(1)).alias("n"), F.min("first").getField("key").alias(key))
             .select(F.pmod(F.xxhash64("full_id"), F.lit(self.prefixes)).cast("int").alias("prefix"), "*")
         )
-        path = f"{self.path}/batch-{self._made + 1:06d}"
+        path = new_path(self.spark, "batch")
         if self.runs:
             schema = T.StructType([*keyed.schema.fields, T.StructField("known", T.BooleanType())])
             keyed.groupBy("prefix").cogroup(self._read().groupBy("prefix")).applyInPandas(_with_known, schema).write.parquet(path)
         else:
             keyed.withColumn("known", F.lit(False)).write.parquet(path)
-        stored = self.spark.read.parquet(path)
-        self._write(stored.where(~F.col("known")).select("prefix", "full_id"))
-        if len(self.runs) >= self.fan_in:
-            self.merge_runs()
-        return stored.drop("prefix", "full_id")
+        return self.spark.read.parquet(path)
 
 
 def _with_known(batch: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
