@@ -53,14 +53,14 @@ ENDING_WORDS = 8
 _AT = r"(?:@|\(at\)|\[at\])"
 _DOT = r"(?:\.|\s?(?:\[dot\]|\(dot\))\s?)"
 EMAIL = re.compile(rf"[\w.+\-]+\s?{_AT}\s?[\w\-]+(?:{_DOT}[\w\-]+)*{_DOT}[A-Za-z][\w\-]*\w", re.I)
-HANDLE = re.compile(r"\S*@\S*")
+HANDLE = re.compile(r"\S+")
 PHONE = re.compile(r"(?<![\w.+/\-])(?:\(?\+?\d{1,4}\)?[\s.\-]?)?\(?\d{1,5}\)?(?:[\s.\-]?\d{2,8}){1,4}(?![\w/]|[.\-:]\d)")
 ID = re.compile(r"(?<![\w\-.+])[23](?:[\s\-]?\d){13}(?!\w|-\d)")
 PASSPORT = re.compile(r"(?<![\w\-])[A-Z]\d{8}(?![\w\-])")
 _PLACE = r"(?:" + "|".join(PLACE_WORDS) + r")\s+[\w'\-]+(?:\s+\d{5})?"
-_TAIL = rf"(?:[،,]?\s*(?:{_PLACE}|بجوار\s+\w+|أمام\s+\w+|الدور\s+\w+|شقة\s+\w+|\d+(?:st|nd|rd|th) floor|Nozhara(?:\s+\d{{5}})?|نزهارا|[A-Z][a-z]+\s+\d{{5}}))*"
+_TAIL = rf"(?:[،,]?\s*(?:{_PLACE}|بجوار\s+\w+|أمام\s+\w+|الدور\s+\w+|شقة\s+\w+|\d+(?:st|nd|rd|th) floor|Nozhara(?:\s+\d{{5}})?|نزهارا|[A-Z][a-z]+\s+\d{{5}})){{0,6}}"
 ADDRESS = re.compile(
-    rf"(?:\b{BUILDING}\.?\s*\d+\s*[,،]?\s*)*(?:\b\d+\s+(?:el[\s\-]|al[\s\-])?[^\W\d_]+(?:\s[^\W\d_]+)?\s{STREET_AFTER}\b\.?|(?:\b\d+\s*)?(?<!\w){STREET_BEFORE}\s*[^\W\d_]+){_TAIL}"
+    rf"(?:\b{BUILDING}\.?\s{{0,3}}\d{{1,6}}\s{{0,3}}[,،]?\s{{0,3}}){{0,3}}(?:\b\d+\s+(?:el[\s\-]|al[\s\-])?[^\W\d_]+(?:\s[^\W\d_]+)?\s{STREET_AFTER}\b\.?|(?:\b\d+\s*)?(?<!\w){STREET_BEFORE}\s*[^\W\d_]+){_TAIL}"
     rf"|\b{BUILDING}\.?\s*\d+\s*[,،]\s*[^\W\d_]+(?:\s[^\W\d_]+)?\s{STREET_AFTER}\b\.?{_TAIL}"
     rf"|\b{BUILDING}\s*\d+\s+{BUILDING}\s*\d+{_TAIL}",
     re.I,
@@ -102,10 +102,12 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of the forms in a text: email, phone, id_number, address; not overlapping, in order."""
     found: list[tuple[int, int, str]] = []
     ascii_digits = text.translate(_DIGITS)
+    taken = bytearray(len(text))
 
     def add(pattern: re.Pattern, kind: str, ok=lambda t: True) -> None:
         for m in pattern.finditer(ascii_digits):
-            if ok(m[0]) and all(m.end() <= s or m.start() >= e for s, e, _ in found):
+            if ok(m[0]) and not any(taken[m.start() : m.end()]):
+                taken[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
                 found.append((m.start(), m.end(), kind))
 
     if "@" in text or "at" in text:
@@ -137,7 +139,7 @@ def name_words(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int,
     in a phrase that names an organisation."""
     out = []
     for s, e in outside(text, found):
-        part = PLACE.sub(lambda m: " " * len(m[0]), HANDLE.sub(lambda m: " " * len(m[0]), text[s:e]))
+        part = PLACE.sub(lambda m: " " * len(m[0]), HANDLE.sub(lambda m: " " * len(m[0]) if "@" in m[0] else m[0], text[s:e]))
         for phrase in _PHRASE.finditer(part):
             words = [(s + phrase.start() + m.start(), s + phrase.start() + m.end(), m[0]) for m in _WORD.finditer(phrase[0])]
             if any(is_trade(w.lower().translate(_FOLD)) for _, _, w in words) or "*" in phrase[0]:
