@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qirtas.runtime import new_path
+from qirtas.runtime import new_path, only
 
 RUN_SCHEMA = "prefix int, ids array<string>"
 #: Identifiers in one sorted array: about 2 MB of strings.
@@ -163,6 +163,7 @@ def replay(rows: DataFrame, channel: str, identifier: str, batch: str, order: li
     to keep if not known. Ties in order fall to the smaller key. An empty table gives no rows.
     """
     index = DeliveryIndex(rows.sparkSession, prefixes=prefixes)
+    rows = only(rows, *dict.fromkeys([channel, identifier, batch, *order, key]))
     seen = [
         index.ingest(rows.where(span), F.col(channel), F.col(identifier), [F.col(o) for o in order], key).select("channel", "identifier", "n", "known", key)
         for span in batch_rounds(rows, batch, rounds)
@@ -179,8 +180,12 @@ def keep_one(rows: DataFrame, channel: str, identifier: str, batch: str, order:
     key: a unique, non-null column. The row kept is the first by order (nulls first) within the first batch span that has
     the identifier; then by key.
     """
-    kept = replay(rows, channel, identifier, batch, order, key, **how).where(~F.col("known")).select(F.col(key).alias("_kept"))
-    return rows.where(F.col(identifier).isNull()).unionByName(rows.where(F.col(identifier).isNotNull()).join(kept, F.col(key) == F.col("_kept"), "left_semi"))
+    kept = replay(rows, channel, identifier, batch, order, key, **how).where(~F.col("known")).select(F.col(key).alias("kept key"))
+    # by place, for other columns may have the same names
+    plain = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    k, i = (F.col(f"c{rows.columns.index(c)}") for c in (key, identifier))
+    out = plain.where(i.isNull()).unionByName(plain.where(i.isNotNull()).join(kept, k == F.col("kept key"), "left_semi"))
+    return out.toDF(*rows.columns)
 
 
 def repeated(rows: DataFrame, channel: str, identifier: str, batch: str, order: list[str], key: str, **how: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qirtas.runtime import checkpointed, partitions_for
+from qirtas.runtime import checkpointed, only, partitions_for
 
 # --- Fixed values -----------------------------------------------------------------------------------------------------
 MONTHS = {
@@ -346,6 +346,7 @@ def normalised(values: DataFrame, value: str, tz: str, source: list[str], order:
     states no day are not in the result. Repeated rows give repeated results.
     """
     spark = values.sparkSession
+    values = only(values, *dict.fromkeys([value, tz, *source, *order, *key]))
     keys = [F.col(k).alias(f"k{i}") for i, k in enumerate(key)]
     read = values.where(F.col(value).isNotNull()).select(F.to_json(F.struct(*source)).alias("_source"), F.struct(*order, *key).alias("_order"), *keys, F.col(value).alias("_value"), F.col(tz).alias("_tz"))
     parts = partitions_for(spark, values.count(), rows_each)

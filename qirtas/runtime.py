@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,3 +52,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     """Partitions so that each has about rows_each rows, but at least as many as shuffles have anyway when rows suffice."""
     return max(1, min(max(-(-rows // rows_each), int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-rows // 1000) or 1))
+
+
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns of df, also where other columns have the same names up to case: Spark finds those ambiguous.
+
+    Of columns with exactly the same name the first is taken; a name that no column has in its case is taken in any case.
+    """
+    have = df.columns
+    lower = [c.lower() for c in have]
+    if all(lower.count(n.lower()) == 1 for n in names):
+        return df.select(*names)
+    at = [have.index(n) if n in have else lower.index(n.lower()) for n in names]
+    return df.toDF(*[f"c{i}" for i in range(len(have))]).select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
