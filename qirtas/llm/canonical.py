@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qirtas.llm.forms import comparison_key
+from qirtas.runtime import only
 
 #: Bound of the canonical list, whose automaton every task holds (about 1 kB an entry).
 MAX_ENTRIES = 100_000
@@ -259,7 +260,7 @@ def matched(values: DataFrame, entries: DataFrame) -> DataFrame:
 
     entries: canon_id, field, canonical, name_en, name_ar, short_form; names may be null. An empty list matches nothing.
     """
-    rows = entries.select("field", "canon_id", "canonical", "name_en", "name_ar", "short_form").limit(MAX_ENTRIES + 1).collect()
+    rows = only(entries, "field", "canon_id", "canonical", "name_en", "name_ar", "short_form").where("field is not null and canon_id is not null").limit(MAX_ENTRIES + 1).collect()
     if len(rows) > MAX_ENTRIES:
         raise ValueError(f"more than {MAX_ENTRIES} canonical entries")
     by_field: dict[str, list[tuple]] = {}
@@ -286,6 +287,8 @@ def matched(values: DataFrame, entries: DataFrame) -> DataFrame:
 
 def entered_values(parties: DataFrame, receipts: DataFrame, entries: DataFrame) -> DataFrame:
     """receipt_id, side, field, value: the free-entered values that are neither null, blank nor exactly canonical."""
+    parties, receipts = only(parties, "receipt_id", "side", "bank"), only(receipts, "receipt_id", "currency", "provider")
+    entries = only(entries, "field", "canonical")
     bank = parties.select("receipt_id", "side", F.lit("bank").alias("field"), F.col("bank").alias("value"))
     rest = receipts.select("receipt_id", F.explode(F.array(*[F.struct(F.lit("-").alias("side"), F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("currency", "provider")])).alias("v")).select("receipt_id", "v.*")
     exact = F.broadcast(entries.select("field", F.col("canonical").alias("value")).distinct().limit(MAX_ENTRIES))

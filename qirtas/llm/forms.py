@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qirtas.runtime import only
+
 # --- Fixed values -----------------------------------------------------------------------------------------------------
 #: Letters of other scripts that look like a Latin letter.
 GREEK_LATIN = {
@@ -133,7 +135,7 @@ def readings(lines: DataFrame) -> DataFrame:
     of = lambda field, pos, c: F.struct(F.lit(field).alias("field"), pos.cast("int").alias("pos"), c.alias("reading"))
     alts = F.transform(F.coalesce(F.col("alts"), F.array().cast("array<string>")), lambda x, i: of("alts", i, x))
     return (
-        lines.select("receipt_id", "line_no", F.explode(F.concat(F.array(of("text", F.lit(0), F.col("text"))), alts)).alias("r"))
+        only(lines, "receipt_id", "line_no", "text", "alts").select("receipt_id", "line_no", F.explode(F.concat(F.array(of("text", F.lit(0), F.col("text"))), alts)).alias("r"))
         .select("receipt_id", "line_no", "r.field", "r.pos", "r.reading")
         .where(F.col("reading").isNotNull())
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from qirtas.llm.tokens import VOCABULARY, with_tokens
-from qirtas.runtime import written
+from qirtas.runtime import only, written
 
 #: Languages and topics with a marginal of their own; the rest of each together has one. They bound the cells that are raked.
 MAX_LANGUAGES, MAX_TOPICS = 32, 64
@@ -72,6 +72,7 @@ def _filled(tokens: np.ndarray, code: np.ndarray, goal: np.ndarray, copies: np.n
 
 def expected(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """The documents with tokens, cell columns; and for each cell its expected copies."""
+    documents, targets = only(documents, "doc_id", "text", "lang", "source").where("doc_id is not null"), only(targets, "source", "target_share", "max_repeats").where("source is not null and target_share is not null and max_repeats is not null")
     sized = with_tokens(documents.select("doc_id", "text", F.coalesce("lang", F.lit("none")).alias("lang"), "source", topic_of(F.coalesce("text", F.lit(""))).alias("topic")), vocabulary=vocabulary).where("tokens > 0")
     docs = written(sized.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi"), "sized")
     docs = _common(_common(docs, "lang", MAX_LANGUAGES), "topic", MAX_TOPICS)
@@ -109,7 +110,7 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: s
     """doc_id, source, tokens, copies (at least 1) of the documents drawn.
 
     targets: source, target_share, max_repeats (a fixed list, broadcast). Shares are scaled to 1 over the sources that have
-    tokens; sources without a target and documents without tokens are not drawn. No document is drawn more than max_repeats
+    tokens; sources without a target and documents without an id or tokens are not drawn. Of repeated rows each is drawn. No document is drawn more than max_repeats
     times.
     """
     docs, cells = expected(documents, targets, vocabulary)

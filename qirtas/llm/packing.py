@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qirtas.runtime import written
+from qirtas.runtime import only, written
 
 #: Documents in one block: the working set of one task.
 BLOCK_ITEMS = 4000
@@ -59,9 +59,10 @@ def best_fit(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
 def items(sized: DataFrame, sizes: DataFrame) -> DataFrame:
     """ITEM rows: each document once for each capacity; one that alone exceeds it in pieces, all but the last of them full.
 
-    Documents without tokens are in no container.
+    Documents without an id or without tokens, and sizes without an id or a capacity, are in no container.
     """
-    each = sized.where("tokens > 0").select("doc_id", F.col("tokens").alias("all")).crossJoin(F.broadcast(sizes.select("size_id", F.col("capacity_tokens").cast("bigint").alias("capacity"))))
+    sized, sizes = only(sized, "doc_id", "tokens"), only(sizes, "size_id", "capacity_tokens").where("size_id is not null and capacity_tokens > 0")
+    each = sized.where("doc_id is not null and tokens > 0").select("doc_id", F.col("tokens").alias("all")).crossJoin(F.broadcast(sizes.select("size_id", F.col("capacity_tokens").cast("bigint").alias("capacity"))))
     piece = F.explode(F.expr("sequence(0, cast((all - 1) div capacity as int))"))
     cut = each.withColumn("part", piece).withColumn("start", F.col("part") * F.col("capacity"))
     return cut.select("size_id", "capacity", "doc_id", "part", "start", F.least("capacity", F.col("all") - F.col("start")).alias("tokens"))

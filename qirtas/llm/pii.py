@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from qirtas.llm.canonical import edits
 from qirtas.llm.forms import plain
-from qirtas.runtime import written
+from qirtas.runtime import only, written
 
 # --- Fixed values -----------------------------------------------------------------------------------------------------
 #: Words of trades and legal forms: a phrase with one of them names an organisation.
@@ -57,8 +57,8 @@ HANDLE = re.compile(r"\S+")
 PHONE = re.compile(r"(?<![\w.+/\-])(?:\(?\+?\d{1,4}\)?[\s.\-]?)?\(?\d{1,5}\)?(?:[\s.\-]?\d{2,8}){1,4}(?![\w/]|[.\-:]\d)")
 ID = re.compile(r"(?<![\w\-.+])[23](?:[\s\-]?\d){13}(?!\w|-\d)")
 PASSPORT = re.compile(r"(?<![\w\-])[A-Z]\d{8}(?![\w\-])")
-_PLACE = r"(?:" + "|".join(PLACE_WORDS) + r")\s+[\w'\-]+(?:\s+\d{5})?"
-_TAIL = rf"(?:[،,]?\s*(?:{_PLACE}|بجوار\s+\w+|أمام\s+\w+|الدور\s+\w+|شقة\s+\w+|\d+(?:st|nd|rd|th) floor|Nozhara(?:\s+\d{{5}})?|نزهارا|[A-Z][a-z]+\s+\d{{5}})){{0,6}}"
+_PLACE = r"(?:" + "|".join(PLACE_WORDS) + r")\s+[\w'\-]+(?:\s+\d{5}(?!\d))?"
+_TAIL = rf"(?:[،,]?\s*(?:{_PLACE}|بجوار\s+\w+|أمام\s+\w+|الدور\s+\w+|شقة\s+\w+|\d+(?:st|nd|rd|th) floor|Nozhara(?:\s+\d{{5}}(?!\d))?|نزهارا|(?-i:[A-Z][a-z]+)\s+\d{{5}}(?!\d))){{0,6}}"
 ADDRESS = re.compile(
     rf"(?:\b{BUILDING}\.?\s{{0,3}}\d{{1,6}}\s{{0,3}}[,،]?\s{{0,3}}){{0,3}}(?:\b\d+\s+(?:el[\s\-]|al[\s\-])?[^\W\d_]+(?:\s[^\W\d_]+)?\s{STREET_AFTER}\b\.?|(?:\b\d+\s*)?(?<!\w){STREET_BEFORE}\s*[^\W\d_]+){_TAIL}"
     rf"|\b{BUILDING}\.?\s*\d+\s*[,،]\s*[^\W\d_]+(?:\s[^\W\d_]+)?\s{STREET_AFTER}\b\.?{_TAIL}"
@@ -166,7 +166,7 @@ def items(analyses: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     lines = F.transform(F.coalesce("text_lines", F.array().cast("array<string>")), lambda x, i: of("text_lines", i, x, none, i == 0))
     tokens = F.transform(F.coalesce("tokens", F.from_json(F.lit("[]"), "array<struct<text string, line int, role string>>")), lambda x, i: of("tokens", i, x["text"], F.nullif(x["role"], F.lit("")), F.coalesce(x["line"] == 0, F.lit(False))))
-    return analyses.select("receipt_id", F.explode(F.concat(lines, tokens)).alias("i")).select("receipt_id", "i.*").where(F.col("text").isNotNull())
+    return only(analyses, "receipt_id", "text_lines", "tokens").select("receipt_id", F.explode(F.concat(lines, tokens)).alias("i")).select("receipt_id", "i.*").where(F.col("text").isNotNull())
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qirtas.runtime import written
+from qirtas.runtime import only, written
 
 # --- Fixed values -----------------------------------------------------------------------------------------------------
 CUT_MARKS = r"(?:\.\.\.|…|\[…\]|\[\.\.\.\]|\[(?:cut|truncated|snip|more)\]|<(?:cut|truncated)>|\((?:cut|truncated)\))\s*$"
@@ -217,9 +217,9 @@ def _nodes(words: DataFrame, context: list[str]) -> DataFrame:
 def judged(documents: DataFrame) -> DataFrame:
     """doc_id, source, length, state, cut: whether each text was cut; see the module.
 
-    Null and blank texts have no row. Documents are judged one by one: copies get the same answer.
+    Null and blank texts and rows without an id have no row; a null source is a source of its own. Documents are judged one by one: copies get the same answer.
     """
-    docs = documents.select("doc_id", "source", "text").where(F.col("text").isNotNull())
+    docs = only(documents, "doc_id", "source", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     ends = written(tails(docs), "tails")
     words = written(vocabulary(docs), "vocabulary")
     two = written(pairs(docs), "pairs")
