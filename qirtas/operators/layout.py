@@ -100,3 +100,46 @@ def party_blocks(lines: DataFrame, group: str = "receipt_id") -> DataFrame:
     kept = near.withColumn("_broken", broken).where("_broken = 0")
     first = F.min("h_line_no").over(W.partitionBy(group, "line_no"))
     return kept.withColumn("_first", first).where("h_line_no = _first").select(group, F.col("h_line_no").alias("head_no"), F.col("h_target").alias("party"), "line_no", "text")
+
+
+def text_lines(lines: DataFrame, group: str = "receipt_id", tolerance: float = 0.6) -> DataFrame:
+    """lines with `row`, the number of the text row that each belongs to, from top to bottom.
+
+    A fold over the lines by their middle: a line joins the last row if its middle is within tolerance x the smaller of its
+    height and the row's mean height of the row's mean middle, else it opens a row. Lines without a box have a null row.
+    """
+    boxed = lines.where("y0 is not null and y1 is not null")
+    item = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("cy"), "x0", "line_no", (F.col("y1") - F.col("y0")).cast("double").alias("h"))
+    rows = boxed.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    fold = F.expr(
+        f"""aggregate(items, struct(cast(-1 as int) as row, cast(0 as double) as cy, cast(0 as double) as h, cast(0 as int) as n, cast(array() as array<struct<line_no:int,row:int>>) as done),
+             (s, i) -> if(s.n > 0 and abs(i.cy - s.cy) <= {tolerance} * least(i.h, s.h),
+                struct(s.row as row, (s.cy * s.n + i.cy) / (s.n + 1) as cy, (s.h * s.n + i.h) / (s.n + 1) as h, s.n + 1 as n, concat(s.done, array(struct(i.line_no as line_no, s.row as row))) as done),
+                struct(s.row + 1 as row, i.cy as cy, i.h as h, 1 as n, concat(s.done, array(struct(i.line_no as line_no, s.row + 1 as row))) as done)),
+             s -> s.done)"""
+    )
+    found = rows.select(group, F.explode(fold).alias("f")).select(group, "f.line_no", "f.row")
+    return lines.join(found, [group, "line_no"], "left")
+
+
+def merged_boxes(boxes: DataFrame, group: str = "receipt_id", rounds: int = 20) -> DataFrame:
+    """group, x0, y0, x1, y1, boxes: boxes that touch joined to their bounding box until none touch.
+
+    Each round joins every box with those that it intersects and keeps the bounding box of what they reach; it ends when a
+    round changes nothing, which takes about as many rounds as the logarithm of the longest chain.
+    """
+    from qirtas.runtime import written
+
+    now = boxes.select(group, *BOX).where("x0 is not null and y0 is not null and x1 is not null and y1 is not null").groupBy(group, *BOX).agg(F.count(F.lit(1)).alias("boxes"))
+    now = written(now, "boxes")
+    for _ in range(rounds):
+        a, b = prefixed(now, "a_", [group]), prefixed(now, "b_", [group])
+        touch = (F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1"))
+        flat = (F.col("a_x0") == F.col("b_x0")) & (F.col("a_y0") == F.col("b_y0")) & (F.col("a_x1") == F.col("b_x1")) & (F.col("a_y1") == F.col("b_y1"))
+        reach = a.join(b, group).where(touch | flat).groupBy(group, *[f"a_{c}" for c in BOX], "a_boxes").agg(*[F.min(f"b_{c}").alias(c) for c in ("x0", "y0")], *[F.max(f"b_{c}").alias(c) for c in ("x1", "y1")])
+        grown = written(reach.groupBy(group, *BOX).agg(F.sum("a_boxes").alias("boxes")), "boxes")
+        same = grown.count() == now.count() and grown.select(group, *BOX).exceptAll(now.select(group, *BOX)).isEmpty()
+        now = grown
+        if same:
+            break
+    return now

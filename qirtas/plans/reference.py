@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from qirtas.functions import text as T
 from qirtas.functions import values as V
 from qirtas.functions.vocabulary import CURRENCIES, STATUS_WORDS, keyword_rows, label_rows, norm
-from qirtas.operators import extract, labels, layout, messages, readings, statistics, store
+from qirtas.operators import closest, extract, labels, layout, messages, readings, statistics, store
 from qirtas.runtime import new_path, table
 from qirtas.sources import files
 from qirtas.streaming import deliveries as stream_deliveries
@@ -139,6 +139,17 @@ def provider_by_keywords(spark: SparkSession, folder: str) -> DataFrame:
     return hits.groupBy("receipt_id").agg(F.max_by("canon_id", F.struct("hits", -F.col("canon_id"))).alias("canon_id"))
 
 
+@query()
+def label_scored(spark: SparkSession, folder: str) -> DataFrame:
+    return closest.scored_labels(table(spark, folder, "ocr_lines").where("text is not null"), ["receipt_id", "line_no"], F.array_compact(F.concat(F.array("text"), F.coalesce("alts", F.array().cast("array<string>")))))
+
+
+@query()
+def currency_closest(spark: SparkSession, folder: str) -> DataFrame:
+    codes = closest.closest(list(CURRENCIES), 0.6, clear=True, first_letter=True)
+    return table(spark, folder, "receipts").select("receipt_id", codes(F.upper(F.trim("currency"))).alias("code")).where("code is not null")
+
+
 # --- geometry and order -----------------------------------------------------------------------------------------------
 _OVERLAP = "greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / CAST(greatest(1, least(a.y1 - a.y0, b.y1 - b.y0)) AS DOUBLE)"
 _GAP = "greatest(a.x0, b.x0) - least(a.x1, b.x1)"
@@ -155,6 +166,16 @@ def value_on_row(spark: SparkSession, folder: str) -> DataFrame:
     return layout.same_row_nearest(known.where("kind is not null").select(*rows.columns), known.where("kind is null").select(*rows.columns))
 
 
+@query()
+def rows_of_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return layout.text_lines(table(spark, folder, "ocr_lines").select("receipt_id", "line_no", *layout.BOX)).select("receipt_id", "line_no", "row")
+
+
+@query()
+def boxes_joined(spark: SparkSession, folder: str) -> DataFrame:
+    return layout.merged_boxes(table(spark, folder, "ocr_lines"))
+
+
 @query()
 def receipt_fields(spark: SparkSession, folder: str) -> DataFrame:
     e = extract.extracted(table(spark, folder, "ocr_lines"))
