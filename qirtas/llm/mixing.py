@@ -76,7 +76,7 @@ def expected(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABUL
     sized = with_tokens(documents.select("doc_id", "text", F.coalesce("lang", F.lit("none")).alias("lang"), "source", topic_of(F.coalesce("text", F.lit(""))).alias("topic")), vocabulary=vocabulary).where("tokens > 0")
     docs = written(sized.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi"), "sized")
     docs = _common(_common(docs, "lang", MAX_LANGUAGES), "topic", MAX_TOPICS)
-    cells = docs.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).toPandas()
+    cells = docs.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).orderBy("source", "lang", "topic").toPandas()
     spark = documents.sparkSession
     schema = "source string, lang string, topic string, copies double"
     if not len(cells):
