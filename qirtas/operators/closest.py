@@ -28,11 +28,21 @@ def closest(words: list[str], cutoff: float, clear: bool = False, first_letter:
     def one(text: str) -> str | None:
         if not text or len(text) > 100:
             return None
-        scored = [(difflib.SequenceMatcher(None, text, w).ratio(), -k, w) for k, w in enumerate(words) if not first_letter or w[:1] == text[:1]]
-        top = sorted(scored, reverse=True)[:2]
-        if not top or top[0][0] < cutoff or clear and len(top) > 1 and top[0][0] == top[1][0]:
-            return None
-        return top[0][2]
+        best, at, tied = cutoff, None, False
+        matcher = difflib.SequenceMatcher(None, "", text)
+        for w in words:
+            # 2 x the shorter length / both lengths bounds the ratio
+            if first_letter and w[:1] != text[:1] or 2 * min(len(w), len(text)) < best * (len(w) + len(text)):
+                continue
+            matcher.set_seq1(w)
+            if matcher.quick_ratio() < best:
+                continue
+            ratio = difflib.SequenceMatcher(None, text, w).ratio()
+            if ratio > best or at is None and ratio >= best:
+                best, at, tied = ratio, w, False
+            elif ratio == best:
+                tied = True
+        return None if clear and tied else at
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str | None, str | None] = {None: None}

@@ -176,6 +176,17 @@ def boxes_joined(spark: SparkSession, folder: str) -> DataFrame:
     return layout.merged_boxes(table(spark, folder, "ocr_lines"))
 
 
+@query("""
+  SELECT a.receipt_id, a.line_no FROM ocr_lines a WHERE a.x0 IS NOT NULL AND EXISTS (
+    SELECT 1 FROM ocr_lines b WHERE b.receipt_id = a.receipt_id AND b.line_no <> a.line_no
+      AND greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.8 * (a.x1 - a.x0) * (a.y1 - a.y0))""")
+def boxes_inside(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "ocr_lines").select("receipt_id", "line_no", *layout.BOX).where("x0 is not null")
+    a, b = layout.prefixed(rows, "a_", ["receipt_id"]), layout.prefixed(rows, "b_", ["receipt_id"])
+    pairs = a.join(b, (a["receipt_id"] == b["receipt_id"]) & (F.col("a_line_no") != F.col("b_line_no")) & layout.inside("a_", "b_"), "left_semi")
+    return pairs.select("receipt_id", F.col("a_line_no").alias("line_no"))
+
+
 @query()
 def receipt_fields(spark: SparkSession, folder: str) -> DataFrame:
     e = extract.extracted(table(spark, folder, "ocr_lines"))
@@ -211,6 +222,16 @@ def reading_votes(spark: SparkSession, folder: str) -> DataFrame:
     return readings.voted(v, ["receipt_id", "line_no"], "reading", "conf", "pos").withColumn("confidence", F.round("confidence", 6))
 
 
+@query("""
+  WITH v AS (SELECT receipt_id, line_no, unnest(alts) AS reading, unnest(range(len(alts))) AS pos FROM ocr_lines WHERE alts IS NOT NULL),
+  n AS (SELECT *, count(reading) OVER (PARTITION BY receipt_id, line_no, reading ORDER BY pos) AS so_far FROM v),
+  q AS (SELECT *, min(CASE WHEN reading IS NOT NULL AND so_far >= 2 THEN pos END) OVER (PARTITION BY receipt_id, line_no) AS stop FROM n)
+  SELECT receipt_id, line_no, count(*) AS attempts FROM q WHERE stop IS NULL OR pos <= stop GROUP BY ALL""")
+def attempts_until_quorum(spark: SparkSession, folder: str) -> DataFrame:
+    v = table(spark, folder, "ocr_lines").select("receipt_id", "line_no", F.posexplode("alts").alias("pos", "reading"))
+    return readings.until_quorum(v, ["receipt_id", "line_no"], "pos", "reading").groupBy("receipt_id", "line_no").agg(F.count(F.lit(1)).alias("attempts"))
+
+
 @query("SELECT receipt_id, round(sum(score * length(text)) / nullif(sum(length(text)), 0), 9) AS confidence FROM ocr_lines WHERE text IS NOT NULL AND score IS NOT NULL GROUP BY receipt_id")
 def length_weighted_confidence(spark: SparkSession, folder: str) -> DataFrame:
     return readings.weighted_confidence(table(spark, folder, "ocr_lines"), ["receipt_id"], "text", "score").withColumn("confidence", F.round("confidence", 9))
