@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 from qirtas.functions import text as T
 from qirtas.functions.vocabulary import BANKS, CURRENCIES
 
+# --- Fixed values -----------------------------------------------------------------------------------------------------
 NUMBER = r"(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
+PHONE = r"(?:\+?20|0)1[0125]\d{8}"
+ACCOUNT = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*"
+MOBILE = r"(?<!\d)(?:\+?20|0020)?0?(1[0125]\d{8})(?!\d)"
+ADDRESS = r"[A-Za-z0-9._%+\-]+\s?@\s?[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*"
+DOTTED = r"^[^@\s]+@[^@\s.]+(?:\.[^@\s.]+)+$"
+BANK_CODE = r"^([A-Z]{2,6})\s+(\d[\dA-Z*-]{4,})$"
+ACCOUNT_NUMBER = r"^[\dA-Z*xX#]{6,}$"
+# ----------------------------------------------------------------------------------------------------------------------
+
 _TOKENS = {t.lower(): code for code, tokens in CURRENCIES.items() for t in tokens}
-_NOT_LETTER = r"[^A-Za-z؀-ۿ]"
 #: A currency token not beside other letters, longest first.
 CURRENCY = "(?i)(?<![A-Za-z؀-ۿ])(" + "|".join(re.escape(t) for t in sorted(_TOKENS, key=len, reverse=True)) + ")(?![A-Za-z؀-ۿ])"
-PHONE = r"(?:\+?20|0)1[0125]\d{8}"
-ACCOUNT = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*"
 BANK = "(?i)^(" + "|".join(re.escape(b) for b in sorted(BANKS, key=len, reverse=True)) + r")(?![\p{L}\p{N}_])[\s:-]*(.*)$"
 
 
@@ -37,20 +44,19 @@ def money(c: Column) -> Column:
 def phone(c: Column) -> Column:
     """The first Egyptian mobile number in a text, as 0 and ten digits, also where separators split it."""
     c = T.ascii_digits(c)
-    form = r"(?<!\d)(?:\+?20|0020)?0?(1[0125]\d{8})(?!\d)"
-    found = F.coalesce(_or_null(F.regexp_extract(c, form, 1)), _or_null(F.regexp_extract(F.regexp_replace(c, r"[\s().\-]", ""), form, 1)))
+    found = F.coalesce(_or_null(F.regexp_extract(c, MOBILE, 1)), _or_null(F.regexp_extract(F.regexp_replace(c, r"[\s().\-]", ""), MOBILE, 1)))
     return F.concat(F.lit("0"), found)
 
 
 def email(c: Column) -> Column:
     """The first address in a text, in lower case, also with a space at its @; wallet handles have no dotted host."""
-    found = F.regexp_extract(c, r"[A-Za-z0-9._%+\-]+\s?@\s?[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*", 0)
+    found = F.regexp_extract(c, ADDRESS, 0)
     return F.lower(F.regexp_replace(_or_null(found), r"\s", ""))
 
 
 def is_dotted(c: Column) -> Column:
     """Whether an address has a dotted host: an e-mail address, not the handle of a wallet."""
-    return c.rlike(r"^[^@\s]+@[^@\s.]+(?:\.[^@\s.]+)+$")
+    return c.rlike(DOTTED)
 
 
 def reference(c: Column) -> Column:
@@ -66,13 +72,12 @@ def classify(c: Column) -> Column:
     compact = F.regexp_replace(c, r"[\s-]", "")
     pair = lambda *xs: F.array(*[F.struct(F.lit(s).alias("slot"), v.alias("value")) for s, v in xs])
     held = F.regexp_extract(c, BANK, 2)
-    code = r"^([A-Z]{2,6})\s+(\d[\dA-Z*-]{4,})$"
     return (
         F.when(c.rlike(ACCOUNT), pair(("account", F.regexp_extract(c, ACCOUNT, 0))))
         .when(compact.rlike(f"^{PHONE}$"), pair(("phone", compact)))
         .when(c.rlike(BANK) & held.rlike(r"\d"), pair(("bank", F.regexp_extract(c, BANK, 1)), ("account", held)))
-        .when(c.rlike(code), pair(("bank", F.regexp_extract(c, code, 1)), ("account", F.regexp_extract(c, code, 2))))
-        .when(compact.rlike(r"^[\dA-Zxx*X#]{6,}$") & (F.regexp_count(compact, F.lit(r"\d")) >= 4), pair(("account", c)))
+        .when(c.rlike(BANK_CODE), pair(("bank", F.regexp_extract(c, BANK_CODE, 1)), ("account", F.regexp_extract(c, BANK_CODE, 2))))
+        .when(compact.rlike(ACCOUNT_NUMBER) & (F.regexp_count(compact, F.lit(r"\d")) >= 4), pair(("account", c)))
         .when(F.regexp_count(c, F.lit(r"\p{L}")) >= 3, pair(("name", c)))
         .otherwise(F.array().cast("array<struct<slot:string,value:string>>"))
     )

@@ -133,7 +133,7 @@ def status_of_receipt(spark: SparkSession, folder: str) -> DataFrame:
   SELECT receipt_id, arg_max(canon_id, n * 1000 - canon_id) AS canon_id FROM hits GROUP BY receipt_id""")
 def provider_by_keywords(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "canon_values").where("field = 'provider'")
-    k = F.broadcast(names.select("canon_id", F.explode(F.array(T.norm(F.col("name_en")), T.norm(F.col("name_ar")))).alias("keyword")).limit(1000))
+    k = names.select("canon_id", F.explode(F.array(T.norm(F.col("name_en")), T.norm(F.col("name_ar")))).alias("keyword"))
     rows = table(spark, folder, "ocr_lines").select("receipt_id", F.concat(F.lit(" "), T.norm(F.col("text")), F.lit(" ")).alias("n"))
     hits = rows.join(k, F.col("n").contains(F.concat(F.lit(" "), F.col("keyword"), F.lit(" ")))).groupBy("receipt_id", "canon_id").agg(F.count(F.lit(1)).alias("hits"))
     return hits.groupBy("receipt_id").agg(F.max_by("canon_id", F.struct("hits", -F.col("canon_id"))).alias("canon_id"))
