@@ -70,7 +70,8 @@ def labelled(lines: DataFrame, key: list[str], vocabulary: list[tuple] | None =
     known = F.broadcast(spark.createDataFrame(rows, "label string, kind string, target string, ord int"))
     by_ord = F.broadcast(spark.createDataFrame([(r[3], r[1], r[2]) for r in rows], "fuzzy int, f_kind string, f_target string"))
     base = lines.withColumn("_norm", T.norm(F.col("text"))).join(known.select(F.col("label").alias("_norm"), F.col("kind").alias("e_kind"), F.col("target").alias("e_target")), "_norm", "left")
-    fuzzy = F.when(F.col("e_kind").isNull(), _misspelt(rows)(F.coalesce("_norm", F.lit(""))))
+    # an empty text is compared with nothing
+    fuzzy = _misspelt(rows)(F.coalesce(F.when(F.col("e_kind").isNull(), F.col("_norm")), F.lit("")))
     base = base.withColumn("fuzzy", fuzzy).join(by_ord, "fuzzy", "left")
     # every split of a short line into a label and a value
     open_ = base.where("e_kind is null and f_kind is null").select(*key, F.split(F.trim("text"), " ").alias("w")).where(F.size("w").between(2, MAX_WORDS))
