@@ -13,9 +13,6 @@ from qirtas.functions import text as T
 from qirtas.functions import values as V
 from qirtas.functions.vocabulary import FUZZY_LENGTH, FUZZY_RATIO, label_rows, labels
 
-#: Words of a line beyond which it is a text, not a label and a value.
-MAX_WORDS = 12
-
 
 def similarity(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
@@ -73,9 +70,14 @@ def labelled(lines: DataFrame, key: list[str], vocabulary: list[tuple] | None =
     # an empty text is compared with nothing
     fuzzy = _misspelt(rows)(F.coalesce(F.when(F.col("e_kind").isNull(), F.col("_norm")), F.lit("")))
     base = base.withColumn("fuzzy", fuzzy).join(by_ord, "fuzzy", "left")
-    # every split of a short line into a label and a value
-    open_ = base.where("e_kind is null and f_kind is null").select(*key, F.split(F.trim("text"), " ").alias("w")).where(F.size("w").between(2, MAX_WORDS))
-    cut = F.explode(F.expr("flatten(transform(sequence(1, size(w) - 1), k -> array(struct(k as k, 0 as side, array_join(slice(w, 1, k), ' ') as part, array_join(slice(w, k + 1, size(w) - k), ' ') as rest), struct(k as k, 1 as side, array_join(slice(w, size(w) - k + 1, k), ' ') as part, array_join(slice(w, 1, size(w) - k), ' ') as rest))))"))
+    # every split of a line into a label and a value; a part of more words than any label has is none
+    most = max((len(r[0].split(" ")) for r in rows), default=0)
+    open_ = base.where("e_kind is null and f_kind is null").select(*key, F.split(F.trim("text"), " ").alias("w")).where(F.size("w") >= 2)
+    # the normalised words of each word: none for a mark that stands alone, several for words joined by marks
+    open_ = open_.withColumn("c", F.transform("w", lambda x: F.size(F.filter(F.split(T.norm(x), " "), lambda y: y != ""))))
+    reach = lambda c: F.aggregate(c, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("k")), lambda s, n: F.struct((s["sum"] + n).alias("sum"), F.when(s["sum"] + n <= most, s["k"] + 1).otherwise(s["k"]).alias("k")), lambda s: F.least(s["k"], F.size(c) - 1))
+    open_ = open_.select(*key, "w", reach(F.col("c")).alias("front"), reach(F.reverse("c")).alias("back"))
+    cut = F.explode(F.expr("concat(if(front < 1, array(), transform(sequence(1, front), k -> struct(k as k, 0 as side, array_join(slice(w, 1, k), ' ') as part, array_join(slice(w, k + 1, size(w) - k), ' ') as rest))), if(back < 1, array(), transform(sequence(1, back), k -> struct(k as k, 1 as side, array_join(slice(w, size(w) - k + 1, k), ' ') as part, array_join(slice(w, 1, size(w) - k), ' ') as rest))))"))
     met = open_.select(*key, cut.alias("s")).select(*key, "s.*").join(known, T.norm(F.col("part")) == F.col("label")).where((F.col("kind") == "party") | V.valid(F.col("target"), F.col("rest")))
     best = met.groupBy(*key).agg(F.min_by(F.struct("kind", "target", "rest"), F.struct("ord", "k", "side")).alias("i"))
     kind = F.coalesce("e_kind", "f_kind", "i.kind")
