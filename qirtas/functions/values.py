@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from qirtas.functions import text as T
-from qirtas.functions.vocabulary import BANKS, CURRENCIES
+from qirtas.functions.vocabulary import BANKS, CURRENCIES, SENTENCES
 
 # --- Fixed values -----------------------------------------------------------------------------------------------------
 NUMBER = r"(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
@@ -23,8 +23,12 @@ ACCOUNT_NUMBER = r"^[\dA-Z*xX#]{6,}$"
 
 _TOKENS = {t.lower(): code for code, tokens in CURRENCIES.items() for t in tokens}
 #: A currency token not beside other letters, longest first.
-CURRENCY = "(?i)(?<![A-Za-z؀-ۿ])(" + "|".join(re.escape(t) for t in sorted(_TOKENS, key=len, reverse=True)) + ")(?![A-Za-z؀-ۿ])"
+_COIN = "(?<![A-Za-z؀-ۿ])(?:" + "|".join(re.escape(t) for t in sorted(_TOKENS, key=len, reverse=True)) + ")(?![A-Za-z؀-ۿ])"
+CURRENCY = f"(?i)({_COIN})"
 BANK = "(?i)^(" + "|".join(re.escape(b) for b in sorted(BANKS, key=len, reverse=True)) + r")(?![\p{L}\p{N}_])[\s:-]*(.*)$"
+_SUM = rf"((?:{_COIN}\s*)?{NUMBER}(?:\s*{_COIN})?)"
+#: Party and pattern of each sentence; group 1 is the sum, group 2 the party's value.
+SENTENCE = [(party, "(?i)" + p.replace(" ", r"\s+").replace("{amount}", _SUM).replace("{party}", "([^.!،]+?)") + r"\s*(?:[.!،]|$)") for party, p in SENTENCES]
 
 
 def _or_null(c: Column) -> Column:
@@ -83,6 +87,22 @@ def classify(c: Column) -> Column:
     )
 
 
+def sentence(c: Column) -> Column:
+    """struct(amount, party, value) of a text that tells a transfer in one sentence, by the first pattern that fits: the sum
+    as printed, the party it names and what it says of it."""
+    out = None
+    for party, pattern in SENTENCE:
+        got = F.struct(F.regexp_extract(c, pattern, 1).alias("amount"), F.lit(party).alias("party"), F.regexp_extract(c, pattern, 2).alias("value"))
+        out = F.when(c.rlike(pattern), got) if out is None else out.when(c.rlike(pattern), got)
+    return out
+
+
+def sentence_party(c: Column) -> Column:
+    """array<struct<slot,value>> of what a sentence says of a party: a phone anywhere wins, else what the text looks like."""
+    number = _or_null(F.regexp_extract(F.regexp_replace(T.clean(c), r"[\s-]", ""), PHONE, 0))
+    return F.when(number.isNotNull(), F.array(F.struct(F.lit("phone").alias("slot"), number.alias("value")))).otherwise(classify(c))
+
+
 _DATE = r"(?<!\d)(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.](?:\d{4}|\d{2}))(?!\d)|(?<!\d)\d{1,2}\s*\p{L}{3,9}\.?,?\s*\d{4}|\p{L}{3,9}\.?\s+\d{1,2},?\s+\d{4}"
 
 
@@ -91,6 +111,12 @@ def looks_dated(c: Column) -> Column:
     return T.ascii_digits(c).rlike(_DATE)
 
 
+def described(c: Column) -> Column:
+    """What a leftover text is: money (with a currency), datetime, phone, account; null if it is just text."""
+    slots = F.filter(F.transform(classify(c), lambda p: p["slot"]), lambda s: s != "name")
+    return F.when(money(c)["currency"].isNotNull(), "money").when(looks_dated(c), "datetime").otherwise(F.try_element_at(slots, F.lit(-1)))
+
+
 def valid(target: Column, c: Column) -> Column:
     """Whether a text can be the value of a target field."""
     slot = F.element_at(F.split(target, r"\."), -1)

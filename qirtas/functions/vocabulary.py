@@ -31,6 +31,26 @@ STATUS_WORDS = {
     "pending": ["pending", "in progress", "under review", "قيد التنفيذ", "قيد المعالجة", "جاري التنفيذ"],
     "success": ["success", "successful", "successfully", "completed", "approved", "بنجاح", "ناجحة", "تمت", "تم"],
 }
+#: Receipts that state the transfer in one sentence: party named, pattern; a space is any white space.
+SENTENCES = [
+    ("receiver", r"you (?:have )?(?:successfully )?(?:transferred|sent|paid) {amount} to {party}"),
+    ("sender", r"you (?:have )?(?:successfully )?received {amount} from {party}"),
+    ("receiver", r"تم (?:تحويل|ارسال|إرسال|دفع) (?:مبلغ )?{amount} (?:إلى|الى|الي|ل) ?{party}"),
+    ("sender", r"تم استلام (?:مبلغ )?{amount} من {party}"),
+]
+#: Keywords of 4 or more Latin letters count inside a word too: logos glue glyphs on.
+PROVIDERS = {
+    "InstaPay": ["instapay", "انستاباي", "انستا باي"],
+    "Axis": ["axis"],
+    "Vodafone Cash": ["vodafone cash", "vodafone", "فودافون كاش", "فودافون"],
+    "Orange Cash": ["orange cash", "orange money", "اورنج كاش"],
+    "Etisalat Cash": ["etisalat cash", "e& cash", "e& money", "اتصالات كاش"],
+    "WE Pay": ["we pay", "وي باي"],
+    "Fawry": ["fawry", "myfawry"],
+    "Meeza": ["meeza", "ميزة"],
+    "Telda": ["telda"],
+    "valU": ["valu"],
+}
 BANKS = ["CIB", "NBE", "QNB", "HSBC", "AAIB", "ADIB", "NBK", "SAIB", "FAB", "ENBD", "Emirates NBD", "Alex Bank", "Banque Misr", "Bank Misr", "Banque du Caire", "Arab African", "Credit Agricole", "Attijariwafa", "بنك مصر", "البنك الأهلي المصري", "البنك الأهلي", "بنك القاهرة", "البنك التجاري الدولي", "بنك الإسكندرية", "بنك قطر الوطني"]
 CURRENCIES = {
     "EGP": ["EGP", "LE", "L.E", "E£", "ج.م", "ج م", "جم", "جنيه مصري", "جنيه", "جنية"],

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from qirtas.runtime import written
+
 BOX = ["x0", "y0", "x1", "y1"]
 
 
@@ -42,12 +46,13 @@ def prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     return df.select(*[c if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def fragments(lines: DataFrame, group: str = "receipt_id", apart: float = 0.5, overlap: float = 0.6) -> DataFrame:
+def fragments(lines: DataFrame, group: str = "receipt_id", apart: float = 0.5, overlap: float = 0.6, label: Callable[[DataFrame, list[str]], DataFrame] | None = None) -> DataFrame:
     """Pieces of one phrase joined: neighbours from left to right on one row, closer than a share of the lower height.
 
     lines: group, line_no, text, box, kind (null where no label). Labels are not joined. In each row (lines whose overlap
     with the row's previous line exceeds `overlap`) a piece opens a new phrase where the gap to its left neighbour is too
-    large; text is joined right to left where it is Arabic. Returns group, line_no (the first), text, box, kind, target,
+    large; text is joined right to left where it is Arabic. label(texts, key) adds kind, target and inline to texts: pieces that
+    make a label together end their phrase and have its kind. Returns group, line_no (the first), text, box, kind, target,
     inline.
     """
     order = W.partitionBy(group).orderBy("y0", "x0", "line_no")
@@ -59,13 +64,30 @@ def fragments(lines: DataFrame, group: str = "receipt_id", apart: float = 0.5, o
     near = (h_gap("", "l_") < apart * F.least(height(), height("l_"))) & (v_overlap("", "l_") > overlap) & F.col("kind").isNull() & F.col("l_kind").isNull()
     phrase = F.sum(F.when(F.col("l_x0").isNotNull() & near, 0).otherwise(1)).over(across)
     parts = rows.withColumns(left).withColumn("_phrase", phrase)
-    pieces = F.array_sort(F.collect_list(F.struct("x0", "line_no", "text")))
-    joined = parts.groupBy(group, "_row", "_phrase").agg(
-        F.min("line_no").alias("line_no"), pieces.alias("_p"), F.max("kind").alias("kind"), F.max("target").alias("target"), F.max("inline").alias("inline"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")]
+    pieces = F.array_sort(F.collect_list(F.struct("x0", "line_no", "text", "y0", "x1", "y1")))
+    joined = parts.groupBy(group, "_row", "_phrase").agg(F.min("line_no").alias("line_no"), pieces.alias("_p"), *[F.max(c).alias(c) for c in ("kind", "target", "inline")])
+    none = "cast(array() as array<struct<lo:int,hi:int,kind:string,target:string,inline:string>>)"
+    if label is None:
+        joined = joined.withColumn("_f", F.expr(none))
+    else:
+        joined = written(joined, "phrases")
+        runs = joined.where(F.size("_p") > 1).select(group, "line_no", F.explode(F.expr("flatten(transform(sequence(0, size(_p) - 2), i -> transform(sequence(i + 1, size(_p) - 1), j -> struct(i as lo, j as hi, slice(_p, i + 1, j - i + 1) as q))))")).alias("r"))
+        found = label(runs.select(group, "line_no", "r.lo", "r.hi", _phrase_text(F.col("r.q")).alias("text")), [group, "line_no", "lo", "hi"]).where("kind is not null")
+        joined = joined.join(found.groupBy(group, "line_no").agg(F.collect_list(F.struct("lo", "hi", "kind", "target", "inline")).alias("_f")), [group, "line_no"], "left")
+    # from the left: the first pieces that make a label close a phrase, the next piece opens another
+    ends = F.expr(
+        f"""aggregate(sequence(0, size(_p) - 1), struct(0 as start, {none} as done),
+             (s, j) -> transform(array(filter(coalesce(_f, {none}), f -> f.lo = s.start and f.hi = j)), hit -> if(size(hit) = 0, s, struct(j + 1 as start, concat(s.done, hit) as done)))[0],
+             s -> if(s.start < size(_p), concat(s.done, array(struct(s.start as lo, size(_p) - 1 as hi, kind, target, inline))), s.done))"""
     )
-    forward = F.array_join(F.transform("_p", lambda p: p["text"]), " ")
-    backward = F.array_join(F.transform(F.reverse("_p"), lambda p: p["text"]), " ")
-    return joined.select(group, "line_no", F.when(forward.rlike("[؀-ۿ]"), backward).otherwise(forward).alias("text"), *BOX, "kind", "target", "inline")
+    out = joined.select(group, "_p", F.explode(ends).alias("s")).select(group, F.expr("slice(_p, s.lo + 1, s.hi - s.lo + 1)").alias("q"), "s.kind", "s.target", "s.inline")
+    least, most = (lambda c: F.array_min(F.col(f"q.{c}")).alias(c)), (lambda c: F.array_max(F.col(f"q.{c}")).alias(c))
+    return out.select(group, least("line_no"), _phrase_text(F.col("q")).alias("text"), least("x0"), least("y0"), most("x1"), most("y1"), "kind", "target", "inline")
+
+
+def _phrase_text(pieces: Column) -> Column:
+    forward = F.array_join(pieces["text"], " ")
+    return F.when(forward.rlike("[؀-ۿ]"), F.array_join(F.reverse(pieces)["text"], " ")).otherwise(forward)
 
 
 def text_rows(tokens: DataFrame, group: list[str], line: str, text: str, x: str) -> DataFrame:
@@ -128,8 +150,6 @@ def merged_boxes(boxes: DataFrame, group: str = "receipt_id", rounds: int = 20)
     Each round joins every box with those that it intersects and keeps the bounding box of what they reach; it ends when a
     round changes nothing, which takes about as many rounds as the logarithm of the longest chain.
     """
-    from qirtas.runtime import written
-
     now = boxes.select(group, *BOX).where("x0 is not null and y0 is not null and x1 is not null and y1 is not null").groupBy(group, *BOX).agg(F.count(F.lit(1)).alias("boxes"))
     now = written(now, "boxes")
     for _ in range(rounds):

@@ -42,14 +42,17 @@ def lines_of_words(words_: DataFrame, group: list[str] | None = None) -> DataFra
 def flat(results: DataFrame) -> DataFrame:
     """Structs as columns named <struct>_<field>, lists of strings as one text, other lists as JSON."""
     out = []
+
+    def shown(c, kind):
+        if kind.typeName() != "array":
+            return c
+        return F.array_join(c, LIST_SEPARATOR) if kind.elementType.typeName() == "string" else F.to_json(c)
+
     for f in results.schema.fields:
-        kind = f.dataType.typeName()
-        if kind == "struct":
-            out += [F.col(f"{f.name}.{g.name}").alias(f"{f.name}_{g.name}") for g in f.dataType.fields]
-        elif kind == "array":
-            out.append((F.array_join(f.name, LIST_SEPARATOR) if f.dataType.elementType.typeName() == "string" else F.to_json(f.name)).alias(f.name))
+        if f.dataType.typeName() == "struct":
+            out += [shown(F.col(f"{f.name}.{g.name}"), g.dataType).alias(f"{f.name}_{g.name}") for g in f.dataType.fields]
         else:
-            out.append(F.col(f.name))
+            out.append(shown(F.col(f.name), f.dataType).alias(f.name))
     return results.select(*out)
 
 
