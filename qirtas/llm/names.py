@@ -6,7 +6,7 @@
 2. Every name is read as title, given name, further given names and family name, in any order and script; names of
    organisations as family name and trade. Family names become phonetic keys that both scripts share.
 3. Family keys become vectors of character n-grams weighted by rarity. A sparse cosine join over the n-grams finds the
-   rare keys that are misspellings of others; it is exact above its threshold. Of the keys found the most similar one that
+   keys that are misspellings of more frequent others; it is exact above its threshold. Of the keys found the most similar one that
    has the same person or firm is taken (top 1); none is left out before.
 4. The readings of each family and given name are grouped by average-linkage clustering of the similarity of their further
    names: equal, abbreviated and missing names agree to different degrees, different ones not at all. Readings with an
@@ -49,8 +49,9 @@ ARABIC_FOLD = str.maketrans({"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى
 # ----------------------------------------------------------------------------------------------------------------------
 
 SPELLING_PARTS = 100_000
-#: A family key of fewer rows may be a misspelling of a more frequent one.
-RARE_KEY = 4
+#: A family key of fewer distinct names may be a misspelling of any key that has no fewer; one of more names only of a key
+#: that has MORE_NAMES times as many.
+RARE_KEY, MORE_NAMES = 4, 4
 #: Least cosine of the n-gram vectors of two family keys, and most edits between them.
 KEY_COSINE, KEY_EDITS = 0.35, 2
 #: Average similarity at which groups of readings are joined.
@@ -312,16 +313,16 @@ def gram_vectors(keys: DataFrame) -> DataFrame:
 
 
 def cosine_pairs(keys: DataFrame) -> DataFrame:
-    """key, target, cosine of the pairs of a rare key with a more frequent one, exact at or above KEY_COSINE.
+    """key, target, n, target_n, cosine of the pairs of a key with a more frequent one, exact at or above KEY_COSINE; keys
+    that are not rare only with those MORE_NAMES times as frequent.
 
-    keys: key, n. A pair must share one of the rarest n-grams of the rare key that together hold more than 1 - KEY_COSINE²
+    keys: key, n. A pair must share one of the rarest n-grams of the rarer key that together hold more than 1 - KEY_COSINE²
     of its squared length, else its cosine cannot reach the threshold: only these are joined.
     """
     vectors = written(gram_vectors(keys), "grams")
     order = W.partitionBy("key").orderBy("df", "gram").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(order), F.lit(0.0))
-    rare = keys.where(F.col("n") < RARE_KEY).select("key", "n")
-    probe = vectors.withColumn("before", before).where(F.col("before") <= 1 - KEY_COSINE**2).select("key", "gram").join(rare, "key")
+    probe = vectors.withColumn("before", before).where(F.col("before") <= 1 - KEY_COSINE**2).select("key", "gram").join(keys.select("key", "n"), "key")
     size = F.length
     met = (
         probe.join(vectors.select(F.col("key").alias("target"), "gram"), "gram")
@@ -329,6 +330,7 @@ def cosine_pairs(keys: DataFrame) -> DataFrame:
         .select("key", "n", "target")
         .distinct()
         .join(keys.select(F.col("key").alias("target"), F.col("n").alias("target_n")), "target")
+        .where((F.col("n") < RARE_KEY) | (F.col("target_n") >= MORE_NAMES * F.col("n")))
         .where((F.col("target_n") > F.col("n")) | (F.col("target_n") == F.col("n")) & (F.col("target") < F.col("key")))
         .where(F.levenshtein("key", "target") <= KEY_EDITS)
     )
@@ -424,19 +426,23 @@ def _grouped(initial: dict[str, str]):
 
 
 def moves(readings_: DataFrame, near: DataFrame) -> DataFrame:
-    """kind, family, given, further, target: the most similar family for each reading of a rare family whose person or firm
-    that family has. Readings with an initial for the given name stay."""
-    there = readings_.select("kind", F.col("family").alias("target"), "given", F.split("further", r"\|")[0].alias("there")).distinct()
+    """kind, family, given, further, target: the most similar family for each reading of a rarer family whose person or firm
+    that family has; where the family is not rare, in more rows than the reading. Readings with an initial for the given name
+    stay. A reading that moves to a family whose equal reading moves too goes where that one goes."""
+    there = readings_.groupBy("kind", F.col("family").alias("target"), "given", F.split("further", r"\|")[0].alias("there")).agg(F.sum("rows").alias("there_rows"))
     father = F.split("further", r"\|")[0]
     same = (F.col("kind") == "O") | (F.col("given") != "") & ~F.col("given").endswith(".") & ((F.col("there") == father) | (father == "") | father.endswith("."))
-    return (
-        readings_.select("kind", "family", "given", "further")
-        .join(near.select(F.col("key").alias("family"), "target", "cosine", "target_n"), "family")
+    moved = (
+        readings_.select("kind", "family", "given", "further", "rows")
+        .join(near.select(F.col("key").alias("family"), "target", "cosine", "n", "target_n"), "family")
         .join(there, ["kind", "target", "given"])
-        .where(same)
+        .where(same & ((F.col("n") < RARE_KEY) | (F.col("there_rows") > F.col("rows"))))
         .groupBy("kind", "family", "given", "further")
         .agg(F.max_by("target", F.struct("cosine", "target_n", "target")).alias("target"))
     )
+    moved = written(moved, "moved")
+    on = moved.select("kind", F.col("family").alias("target"), "given", "further", F.col("target").alias("next"))
+    return moved.join(on, ["kind", "target", "given", "further"], "left").select("kind", "family", "given", "further", F.coalesce("next", "target").alias("target"))
 
 
 def linked(parties: DataFrame) -> DataFrame:
@@ -450,12 +456,14 @@ def linked(parties: DataFrame) -> DataFrame:
     rows = written(readings(parties, known), "readings")
     keys = rows.groupBy(F.col("key1").alias("key")).agg(F.count(F.lit(1)).alias("n1")).join(rows.where("key1 != key2").groupBy(F.col("key2").alias("key")).agg(F.count(F.lit(1)).alias("n2")), "key", "full").select("key", (F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"))
     keys = written(keys, "keys")
+    names = written(rows.select(F.explode(F.array_distinct(F.array("key1", "key2"))).alias("key"), "name").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")), "names")
     # of the keys of a row's two names the more frequent one counts
     n1, n2 = keys.select(F.col("key").alias("key1"), F.col("n").alias("a")), keys.select(F.col("key").alias("key2"), F.col("n").alias("b"))
     rows = rows.join(n1, "key1").join(n2, "key2").withColumn("family", F.when(F.col("b") > F.col("a"), F.col("key2")).otherwise(F.col("key1"))).drop("a", "b", "key1", "key2")
     readings_ = written(rows.groupBy("kind", "family", "given", "further").agg(F.count(F.lit(1)).alias("rows")), "distinct-readings")
-    # a rare family moves to the similar one that has a reading of the same given and further names
-    moved = moves(readings_, cosine_pairs(keys))
+    # a rarer family moves to the similar one that has a reading of the same given and further names; names are counted once,
+    # however many rows repeat them
+    moved = moves(readings_, cosine_pairs(names))
     placed = readings_.join(moved, ["kind", "family", "given", "further"], "left").select("kind", "family", "given", "further", "rows", F.coalesce("target", "family").alias("home"))
     placed = written(placed, "placed")
     initial = Reader(known).initial

@@ -80,3 +80,20 @@ def test_table(spark):
     want = {(a, b) for a, b in combinations(range(n), 2) if entity[a] == entity[b] and data[a][1] != data[b][1]}
     assert got == want
     assert N.pairs(N.linked(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 4])
+def test_recurring_misspellings_of_a_frequent_family(spark, copies):
+    arabic = {"Nabil": "نبيل", "Dina": "دينا", "Karim": "كريم", "Mahmoud": "محمود", "Gamal": "جمال", "Farouk": "فاروق"}
+    people = [(g, f) for g in ("Nabil", "Dina", "Karim") for f in ("Mahmoud", "Gamal", "Farouk")]
+    forms = ["{} {} Dafasawi", "Dafasawi, {} {}", "{} {} DAFASAWI", "Dafasawi {} {}"]
+    data, person = [], []
+    for _ in range(copies):
+        for who, (g, f) in enumerate(people):
+            rows = [(x.format(g, f), f"{arabic[g]} {arabic[f]} دافاساوي") for x in forms] + ([(f"{g} {f} Dafatsawi", None)] if who < 6 else [])
+            for row in rows:
+                data.append((len(data), *row))
+                person.append(who)
+    links = N.linked(spark.createDataFrame(data, "party_id bigint, name string, name_alt string"))
+    entity = {r["party_id"]: r["entity"] for r in links.collect()}
+    assert all((entity[a] == entity[b]) == (person[a] == person[b]) for a, b in combinations(range(len(data)), 2))
