@@ -52,8 +52,9 @@ EQUAL, INITIALS, FITS, MISSING, LEFT_OUT, LONGER = 1.0, 0.85, 0.75, 0.7, 0.65, 0
 KEY_COSINE, KEY_EDITS = 0.35, 2
 #: Weight of the family field: the exponent of its cosine.
 FAMILY_WEIGHT = 0.3
-#: A misspelt family key is at least so many times rarer than the right one.
-RARER = 2
+#: A misspelt family key is at least so many times rarer than the right one; twice as many where it takes two edits. Two edits
+#: count only between readings whose further names agree too: the given name or trade alone is shared by too many.
+RARER = 4
 #: Average similarity at which groups of readings are joined.
 LINK = 0.35
 #: Of the persons that an initial fits, the one meant has at least this share of the rows.
@@ -322,7 +323,8 @@ def gram_vectors(keys: DataFrame) -> DataFrame:
 
 
 def cosine_pairs(keys: DataFrame) -> DataFrame:
-    """a, b, cosine of all pairs of keys (a < b) at or above KEY_COSINE and within KEY_EDITS; exact, for keys of any frequency.
+    """a, b, cosine, edits of all pairs of keys (a < b) at or above KEY_COSINE and within KEY_EDITS; exact, for keys of any
+    frequency. Two letters exchanged are one edit.
 
     The rarest n-grams of a key that together hold more than 1 - KEY_COSINE² of its squared length are its prefix: of the
     n-grams that a pair shares the rarest lies in the prefixes of both, else the cosine cannot reach the threshold.
@@ -337,7 +339,9 @@ def cosine_pairs(keys: DataFrame) -> DataFrame:
     per = vectors.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("v"))
     both = met.join(per.select(F.col("key").alias("a"), F.col("v").alias("va")), "a").join(per.select(F.col("key").alias("b"), F.col("v").alias("vb")), "b")
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("vb"), e["key"]), F.lit(0.0)))
-    return both.select("a", "b", F.round(dot, 6).alias("cosine")).where(F.col("cosine") >= KEY_COSINE)
+    letters = lambda c: F.array_sort(F.split(F.col(c), ""))
+    edits = F.when(letters("a") == letters("b"), 1).otherwise(F.levenshtein("a", "b", KEY_EDITS))
+    return both.select("a", "b", F.round(dot, 6).alias("cosine"), edits.alias("edits")).where(F.col("cosine") >= KEY_COSINE)
 
 
 def _further(a: Column, b: Column) -> Column:
@@ -385,12 +389,12 @@ def similar_readings(r: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFram
     asks_h = F.when(~firm & father.isNotNull() & ~father.endswith("."), eq(father)).otherwise(F.lit("*"))
     asks_g = F.when(firm, F.transform("trades", eq)).otherwise(F.array(eq(F.col("given"))))
     short_g = F.when(firm, F.array(F.lit("?"))).otherwise(F.transform(F.filter(F.split("ini", ""), lambda x: x != ""), lambda x: F.concat(F.lit("?"), x)))
-    near = near.unionByName(r.select("family").distinct().select("family", F.col("family").alias("target"), F.lit(1.0).alias("cosine")))
+    near = near.unionByName(r.select("family").distinct().select("family", F.col("family").alias("target"), F.lit(1.0).alias("cosine"), F.lit(0).alias("edits")))
 
     def joined(asking: DataFrame, g: Column, h: Column) -> DataFrame:
         own = asking.select(F.col("r").alias("a"), "kind", "family", "given", "further", F.explode(g).alias("g"), h.alias("h"))
         pairs = own.join(near, "family").withColumnRenamed("family", "own").withColumnRenamed("target", "family").join(found_by, ["kind", "family", "g", "h"])
-        return pairs.where("a != b").withColumn("f", _further(F.col("further"), F.col("b_further"))).where("f > 0")
+        return pairs.where("a != b and (edits < 2 or size(further) > 0 and size(b_further) > 0)").withColumn("f", _further(F.col("further"), F.col("b_further"))).where("f > 0")
 
     weight = F.pow("cosine", F.lit(FAMILY_WEIGHT))
     both = joined(full, asks_g, asks_h).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (weight * F.col("f")).alias("s"))
@@ -448,11 +452,11 @@ def linked(parties: DataFrame, cosine: bool = True) -> DataFrame:
     families = written(r.groupBy(F.col("family").alias("key")).agg(F.sum("rows").alias("n")), "families")
     if cosine:
         n = lambda c: families.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"))
-        pairs_ = cosine_pairs(families).join(n("a"), "a").join(n("b"), "b").where(F.greatest("na", "nb") >= RARER * F.least("na", "nb"))
+        pairs_ = cosine_pairs(families).join(n("a"), "a").join(n("b"), "b").where(F.greatest("na", "nb") >= RARER * F.greatest("edits", F.lit(1)) * F.least("na", "nb"))
         both = F.explode(F.array(F.struct(F.col("a").alias("family"), F.col("b").alias("target")), F.struct(F.col("b").alias("family"), F.col("a").alias("target"))))
-        near = written(pairs_.select(both.alias("p"), "cosine").select("p.*", "cosine"), "near")
+        near = written(pairs_.select(both.alias("p"), "cosine", "edits").select("p.*", "cosine", "edits"), "near")
     else:
-        near = r.sparkSession.createDataFrame([], "family string, target string, cosine double")
+        near = r.sparkSession.createDataFrame([], "family string, target string, cosine double, edits int")
     sure, short = similar_readings(r, near)
     place = average_linkage(r.select(F.col("r").alias("item"), "rows"), sure)
     placed = written(r.join(place, r["r"] == place["item"], "left").select(*r.columns, F.coalesce("cluster", "r").alias("cluster")), "persons")
