@@ -1,14 +1,21 @@
 """Personal information in free text: found, and replaced by typed placeholders.
 
-E-mail addresses, phone numbers, identity numbers and street addresses have forms. Names of persons do not: how strongly a
-term reveals a person is estimated from the corpus. The tokens of the analyses carry roles; the co-occurrence of a term with
-the name roles, against its occurrences in all labelled tokens, is its disclosure in bits above the base rate. Terms that
-nothing labels fall back on the disclosure of their endings. A text whose terms exceed the threshold names a person, and
-those terms are generalised to a placeholder.
+E-mail addresses, phone numbers, identity numbers and street addresses have forms. What has none is judged by the corpus: how
+strongly a term reveals a protected entity is estimated from its co-occurrence with such entities, in bits (the log odds that
+the entity is there, given the term). Three kinds of co-occurrence count:
+
+* with the name roles that the tokens of the analyses carry, against all labelled tokens: names of persons; terms that nothing
+  labels fall back on the disclosure of their endings;
+* with the roles of providers and banks: a term beside such a one belongs to its name and reveals no person;
+* with the addresses found by form, right behind them: towns, quarters and floors that belong to the address.
+
+A text whose terms exceed the threshold holds the entity, and those terms are generalised to a placeholder. `disclosure`
+reports the bits that are left after that.
 """
 
 from __future__ import annotations
 
+import difflib
 import re
 from collections.abc import Iterator
 from datetime import date
@@ -41,8 +48,12 @@ BUILDING = r"(?:bldg|building|flat|apt|apartment|villa|عمارة|عماره|ش
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "person_name": "[NAME]"}
 # ----------------------------------------------------------------------------------------------------------------------
 
-#: Bits above the base rate of persons, and least share of a term's labelled occurrences in names, that disclose a person.
-DISCLOSURE_BITS, DISCLOSURE_SHARE = 1.0, 0.85
+#: Bits (log odds) from which on a term discloses an entity: 2.5 is a probability of 0.85.
+DISCLOSURE_BITS = 2.5
+#: Bits from which on a word behind an address belongs to it: it does so more often than not.
+PLACE_BITS = 0.0
+#: Labelled occurrences that the base rate counts for beside those of a term.
+PRIOR = 0.5
 #: Least share of the distinct words with an ending that are of names.
 ENDING_SHARE = 0.7
 #: Labelled occurrences from which on a term speaks for itself; with fewer its endings speak.
@@ -58,7 +69,7 @@ PHONE = re.compile(r"(?<![\w.+/\-])(?:\(?\+?\d{1,4}\)?[\s.\-]?)?\(?\d{1,5}\)?(?:
 ID = re.compile(r"(?<![\w\-.+])[23](?:[\s\-]?\d){13}(?!\w|-\d)")
 PASSPORT = re.compile(r"(?<![\w\-])[A-Z]\d{8}(?![\w\-])")
 _PLACE = r"(?:" + "|".join(PLACE_WORDS) + r")\s+[\w'\-]+(?:\s+\d{5}(?!\d))?"
-_TAIL = rf"(?:[،,]?\s*(?:{_PLACE}|بجوار\s+\w+|أمام\s+\w+|الدور\s+\w+|شقة\s+\w+|\d+(?:st|nd|rd|th) floor|Nozhara(?:\s+\d{{5}}(?!\d))?|نزهارا|(?-i:[A-Z][a-z]+)\s+\d{{5}}(?!\d))){{0,6}}"
+_TAIL = rf"(?:[،,]?\s*(?:{_PLACE}|بجوار\s+\w+|أمام\s+\w+|الدور\s+\w+|شقة\s+\w+|\d+(?:st|nd|rd|th) floor|(?-i:[A-Z][a-z]+)\s+\d{{5}}(?!\d))){{0,6}}"
 ADDRESS = re.compile(
     rf"(?:\b{BUILDING}\.?\s{{0,3}}\d{{1,6}}\s{{0,3}}[,،]?\s{{0,3}}){{0,3}}(?:\b\d+\s+(?:el[\s\-]|al[\s\-])?[^\W\d_]+(?:\s[^\W\d_]+)?\s{STREET_AFTER}\b\.?|(?:\b\d+\s*)?(?<!\w){STREET_BEFORE}\s*[^\W\d_]+){_TAIL}"
     rf"|\b{BUILDING}\.?\s*\d+\s*[,،]\s*[^\W\d_]+(?:\s[^\W\d_]+)?\s{STREET_AFTER}\b\.?{_TAIL}"
@@ -66,7 +77,13 @@ ADDRESS = re.compile(
     re.I,
 )
 PLACE = re.compile(rf"(?<!\w){_PLACE}")
+#: Words without which nothing is an address.
+STREETISH = re.compile(rf"\b(?:{STREET_AFTER}|{BUILDING})\b|{STREET_BEFORE}|{BUILDING}", re.I)
+LANDLINE = re.compile(r"(?:0020|20)?0?(?:2\d{8}|3\d{7}|(?:13|15|40|4[5-8]|50|55|57|6[2-9]|8[246-8]|9[2-7])\d{7})")
+#: Ten digits in the groups in which they are dialled elsewhere.
+GROUPED = re.compile(r"(?:\(\d{3}\)\s?|\d{3}[.\-])\d{3}[.\-]\d{4}")
 _DIGITS = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
+_DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _FOLD = str.maketrans({"أ": "ا", "إ": "ا", "آ": "ا", "ى": "ي", "ة": "ه", "ؤ": "و", "ئ": "ي", "ـ": None})
 _ARTICLE = re.compile(r"^(?:el|al)(?=[a-z]{4,})|^ال(?=\w{3,})")
@@ -85,7 +102,9 @@ def is_phone(text: str) -> bool:
         return True
     if re.fullmatch(r"(?:0020|20)1[0125]\d{8}", digits):
         return plus or digits.startswith("00")
-    return plus and 9 <= len(digits) <= 15
+    if plus:
+        return 9 <= len(digits) <= 15
+    return bool(GROUPED.fullmatch(text.strip())) or digits.startswith("0") and bool(LANDLINE.fullmatch(digits))
 
 
 def is_national_id(text: str) -> bool:
@@ -110,15 +129,16 @@ def spans(text: str) -> list[tuple[int, int, str]]:
                 taken[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
                 found.append((m.start(), m.end(), kind))
 
-    if "@" in text or "at" in text:
+    if "@" in text or "(" in text or "[" in text:
         add(EMAIL, "email")
-    if any(ch.isdigit() for ch in ascii_digits):
+    digit = _DIGIT.search(ascii_digits) is not None
+    if digit:
         add(ID, "id_number", is_national_id)
         add(PASSPORT, "id_number")
+    if STREETISH.search(text):
         add(ADDRESS, "address")
+    if digit:
         add(PHONE, "phone", is_phone)
-    elif "شارع" in text or "ش." in text:
-        add(ADDRESS, "address")
     return sorted(found)
 
 
@@ -139,7 +159,11 @@ def name_words(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int,
     in a phrase that names an organisation."""
     out = []
     for s, e in outside(text, found):
-        part = PLACE.sub(lambda m: " " * len(m[0]), HANDLE.sub(lambda m: " " * len(m[0]) if "@" in m[0] else m[0], text[s:e]))
+        part = text[s:e]
+        if "@" in part:
+            part = HANDLE.sub(lambda m: " " * len(m[0]) if "@" in m[0] else m[0], part)
+        if len(part) > 5:
+            part = PLACE.sub(lambda m: " " * len(m[0]), part)
         for phrase in _PHRASE.finditer(part):
             words = [(s + phrase.start() + m.start(), s + phrase.start() + m.end(), m[0]) for m in _WORD.finditer(phrase[0])]
             if any(is_trade(w.lower().translate(_FOLD)) for _, _, w in words) or "*" in phrase[0]:
@@ -161,102 +185,189 @@ def is_trade(word: str) -> bool:
 
 
 def items(analyses: DataFrame) -> DataFrame:
-    """receipt_id, field, pos, text, role, first: one row per line and token text that is not null."""
-    of = lambda field, i, text, role, first: F.struct(F.lit(field).alias("field"), i.cast("int").alias("pos"), text.alias("text"), role.alias("role"), first.alias("first"))
+    """receipt_id, field, pos, text, role: one row per line and token text that is not null."""
+    of = lambda field, i, text, role: F.struct(F.lit(field).alias("field"), i.cast("int").alias("pos"), text.alias("text"), role.alias("role"))
     none = F.lit(None).cast("string")
-    lines = F.transform(F.coalesce("text_lines", F.array().cast("array<string>")), lambda x, i: of("text_lines", i, x, none, i == 0))
-    tokens = F.transform(F.coalesce("tokens", F.from_json(F.lit("[]"), "array<struct<text string, line int, role string>>")), lambda x, i: of("tokens", i, x["text"], F.nullif(x["role"], F.lit("")), F.coalesce(x["line"] == 0, F.lit(False))))
+    lines = F.transform(F.coalesce("text_lines", F.array().cast("array<string>")), lambda x, i: of("text_lines", i, x, none))
+    tokens = F.transform(F.coalesce("tokens", F.from_json(F.lit("[]"), "array<struct<text string, line int, role string>>")), lambda x, i: of("tokens", i, x["text"], F.nullif(x["role"], F.lit(""))))
     return only(analyses, "receipt_id", "text_lines", "tokens").select("receipt_id", F.explode(F.concat(lines, tokens)).alias("i")).select("receipt_id", "i.*").where(F.col("text").isNotNull())
 
 
+_BEHIND = re.compile(r"(?:[\s,،.]+([^\W\d_]{2,}))(?:[\s,،.]+([^\W\d_]{2,}))?")
+
+
+def behind(text: str, found: list[tuple[int, int, str]]) -> list[str]:
+    """The terms right behind the addresses of a text, two at most of each; one that leads to another form is none."""
+    starts = [s for s, _, _ in found]
+    out = []
+    for _, e, kind in found:
+        if kind == "address" and (m := _BEHIND.match(text, e)):
+            out += [term(m[g]) for g in (1, 2) if m[g] and not any(s >= m.end(g) and not text[m.end(g) : s].strip(" :.") for s in starts)]
+    return out
+
+
+READ_SCHEMA = "receipt_id string, field string, pos int, text string, role string, kinds array<string>, words array<string>, behind array<string>"
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Forms and possible name words of each item; once per distinct text of a batch."""
     for b in batches:
         known: dict[str, tuple] = {}
-        kinds, words = [], []
+        rows = []
         for text in b["text"]:
-            if text not in known:
+            if (got := known.get(text)) is None:
                 shown = text if text.isascii() else plain(text)
                 found = spans(shown)
-                known[text] = (sorted({k for _, _, k in found}), list(dict.fromkeys(t for _, _, t in name_words(shown, found))))
-            kinds.append(known[text][0])
-            words.append(known[text][1])
-        yield b.assign(kinds=kinds, words=words)
+                got = known[text] = (sorted({k for _, _, k in found}), [t for _, _, t in name_words(shown, found)], behind(shown, found) if found else [])
+            rows.append(got)
+        kinds, words, near = zip(*rows) if rows else ((), (), ())
+        yield b.assign(kinds=list(kinds), words=list(words), behind=list(near))
+
+
+def _bits(share: F.Column) -> F.Column:
+    return F.log2(share / (1 - share))
 
 
 def term_disclosure(read: DataFrame) -> DataFrame:
-    """word, n (labelled occurrences), share (of them in name roles, smoothed by the base rate), bits."""
+    """word, n (labelled items), names, person_bits, firm_bits: what a word says of a person, or of a provider or bank."""
     labelled = read.where(F.col("role").isNotNull() & (F.col("role") != "note"))
-    counts = labelled.select(F.explode("words").alias("word"), F.col("role").endswith(".name").alias("name")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("name").alias("names"))
-    base = labelled.agg(F.greatest(F.avg(F.col("role").endswith(".name").cast("double")), F.lit(1e-6)).alias("base"))
-    share = (F.col("names") + F.col("base")) / (F.col("n") + 1)
-    return counts.crossJoin(F.broadcast(base)).select("word", "n", "names", share.alias("share"), F.log2(share / F.col("base")).alias("bits"))
+    name, firm = F.col("role").endswith(".name"), F.col("role").endswith(".bank") | (F.col("role") == "provider")
+    counts = labelled.select(F.explode(F.array_distinct("words")).alias("word"), name.alias("name"), firm.alias("firm")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("name").alias("names"), F.count_if("firm").alias("firms"))
+    base = labelled.agg(*[F.greatest(F.avg(c.cast("double")), F.lit(1e-6)).alias(k) for k, c in (("base", name), ("firm_base", firm))])
+    share = lambda hits, b: (F.col(hits) + PRIOR * F.col(b)) / (F.col("n") + PRIOR)
+    return counts.crossJoin(F.broadcast(base)).select("word", "n", "names", _bits(share("names", "base")).alias("person_bits"), _bits(share("firms", "firm_base")).alias("firm_bits"))
+
+
+def place_disclosure(read: DataFrame) -> DataFrame:
+    """word, bits of the words that stand behind addresses: how surely one does where the word is met."""
+    met = read.select(F.explode(F.array_distinct(F.concat("words", "behind"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    near = read.where("size(behind) > 0").select(F.explode(F.array_distinct("behind")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("near"))
+    return near.join(met, "word").where(F.col("n") >= TERM_COUNT).select("word", _bits((F.col("near") + PRIOR * 0.1) / (F.col("n") + PRIOR)).alias("bits"))
 
 
 def ending_disclosure(terms: DataFrame) -> DataFrame:
-    """ending (last 2 to 4 letters), share of the distinct labelled words with it that are of names, kept where it speaks."""
+    """ending (last 3 or 4 letters), share of the distinct labelled words with it that are of names, kept where it speaks."""
     ends = F.expr("transform(sequence(3, 4), k -> right(word, k))")
     by = terms.where(F.length("word") >= 6).select(F.explode(ends).alias("ending"), (2 * F.col("names") > F.col("n")).cast("double").alias("name"))
     return by.groupBy("ending").agg(F.count(F.lit(1)).alias("words"), F.avg("name").alias("share")).where(F.col("words") >= ENDING_WORDS)
 
 
-def disclosing(analyses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The items read, and the words that disclose a person: word."""
-    read = written(items(analyses).mapInPandas(_read, "receipt_id string, field string, pos int, text string, role string, first boolean, kinds array<string>, words array<string>"), "pii-items")
-    terms = written(term_disclosure(read.where("field = 'tokens'")), "pii-terms")
-    sure = terms.where((F.col("n") >= TERM_COUNT) & (F.col("share") >= DISCLOSURE_SHARE) & (F.col("bits") >= DISCLOSURE_BITS)).select("word")
-    asked = read.where(~F.col("first")).select(F.explode("words").alias("word")).distinct().join(terms.where(F.col("n") >= TERM_COUNT), "word", "left_anti")
-    endings = ending_disclosure(terms)
+def disclosing(analyses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The items read; the words that disclose a person: word, bits; and those that belong to an address: word."""
+    read = written(items(analyses).mapInPandas(_read, READ_SCHEMA), "pii-items")
+    tokens = read.where("field = 'tokens'")
+    terms = written(term_disclosure(tokens), "pii-terms")
+    places = written(place_disclosure(tokens).where(F.col("bits") >= PLACE_BITS).select("word"), "pii-places")
+    often = terms.where(F.col("n") >= TERM_COUNT)
+    sure = often.where(F.col("person_bits") >= DISCLOSURE_BITS).select("word", F.col("person_bits").alias("bits"))
+    asked = read.select(F.explode("words").alias("word")).distinct().where(F.length("word") >= 6).join(often, "word", "left_anti")
     ended = (
-        asked.where(F.length("word") >= 6)
-        .select("word", F.explode(F.expr("transform(sequence(3, 4), k -> right(word, k))")).alias("ending"))
-        .join(endings, "ending")
+        asked.select("word", F.explode(F.expr("transform(sequence(3, 4), k -> right(word, k))")).alias("ending"))
+        .join(ending_disclosure(terms), "ending")
         .groupBy("word")
         .agg(F.max_by("share", F.length("ending")).alias("share"))
         .where(F.col("share") >= ENDING_SHARE)
-        .select("word")
+        .select("word", _bits(F.least("share", F.lit(0.999))).alias("bits"))
     )
-    return read, written(sure.unionByName(ended).distinct(), "pii-words")
+    words = sure.unionByName(ended).groupBy("word").agg(F.max("bits").alias("bits")).join(places, "word", "left_anti")
+    return read, written(words, "pii-words"), places
 
 
-def found_types(analyses: DataFrame) -> DataFrame:
-    """receipt_id, field, pos, pii_type: one row for each type that a line or token text holds at least once.
+def persons(read: DataFrame, words: DataFrame) -> DataFrame:
+    """receipt_id, field, pos, word, bits of the words that disclose a person: not beside a word of a provider or bank."""
+    firms = written(term_disclosure(read.where("field = 'tokens'")).where((F.col("n") >= TERM_COUNT) & (F.col("firm_bits") >= DISCLOSURE_BITS)).select("word"), "pii-firms")
+    at = read.where("size(words) > 0").select("receipt_id", "field", "pos", F.posexplode("words").alias("k", "word"), "words")
+    beside = lambda d: F.coalesce(F.get("words", F.col("k") + d), F.lit(""))
+    hit = at.select("receipt_id", "field", "pos", "word", beside(-1).alias("before"), beside(1).alias("after")).join(words, "word")
+    for side in ("before", "after"):
+        hit = hit.join(firms.withColumnRenamed("word", side), side, "left_anti")
+    return hit.select("receipt_id", "field", "pos", "word", "bits")
+
 
-    The first line of an analysis and its tokens name the provider and no person.
-    """
-    read, words = disclosing(analyses)
+def found_types(analyses: DataFrame) -> DataFrame:
+    """receipt_id, field, pos, pii_type: one row for each type that a line or token text holds at least once."""
+    read, words, _ = disclosing(analyses)
     forms = read.select("receipt_id", "field", "pos", F.explode("kinds").alias("pii_type"))
-    named = read.where(~F.col("first") & ~F.coalesce(F.col("role").isin("provider", "status", "label"), F.lit(False))).select("receipt_id", "field", "pos", F.explode("words").alias("word"))
-    persons = named.join(words, "word", "left_semi").select("receipt_id", "field", "pos").distinct().withColumn("pii_type", F.lit("person_name"))
-    return forms.unionByName(persons)
+    return forms.unionByName(persons(read, words).select("receipt_id", "field", "pos").distinct().withColumn("pii_type", F.lit("person_name")))
+
+
+_CLUSTER = re.compile(r"[^\W_][\u0300-\u036f\u064b-\u0655\u200b-\u200f\u00ad]*|.", re.S)
+
+
+def offsets(text: str, shown: str) -> list[int]:
+    """For each place of the plain form of a text, and its end, the place in the text that it comes from."""
+    if len(text) == len(shown) and text.isascii():
+        return list(range(len(text) + 1))
+    out: list[int] = []
+    for m in _CLUSTER.finditer(text):
+        out += [m.start()] * len(plain(m[0]))
+    if len(out) == len(shown):
+        return [*out, len(text)]
+    out = []
+    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, text, shown, autojunk=False).get_opcodes():
+        out += [i1 + min(k, i2 - i1) if tag == "equal" else i1 for k in range(j2 - j1)]
+    return [*out, len(text)]
+
+
+_JOINING = re.compile(r"[\s.\-,]*(?:\b\w\.?[\s.\-]*)?(?:(?:el|al|abd|ال|عبد)[\s\-]*)*", re.I)
+
+
+def replaced(text: str, told: set[str], towns: set[str]) -> str:
+    """The text with a placeholder for each form and for each run of the told words; what lies between is as it was."""
+    shown = text if text.isascii() else plain(text)
+    found = []
+    for s, e, kind in spans(shown):
+        # words behind an address that the corpus knows to belong to it
+        while kind == "address" and (m := _BEHIND.match(shown, e)) and term(m[1]) in towns:
+            e = m.end(1)
+        found.append((s, e, kind))
+    joined: list[list[int]] = []
+    for s, e, t in name_words(shown, found):
+        if t not in told:
+            continue
+        # words of one name are one placeholder
+        if joined and _JOINING.fullmatch(shown, joined[-1][1], s):
+            joined[-1][1] = e
+        else:
+            joined.append([s, e])
+    if not found and not joined:
+        return text
+    at_text = range(len(text) + 1) if shown == text else offsets(text, shown)
+    made, at = [], 0
+    for s, e, kind in sorted([*found, *((s, e, "person_name") for s, e in joined)]):
+        made += [text[at : at_text[s]], PLACEHOLDERS[kind]]
+        at = at_text[e]
+    return "".join(made) + text[at:]
 
 
 def _replaced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    of = lambda x: set(x) if x is not None else set()
     for b in batches:
-        out = []
-        for text, names in zip(b["text"], b["names"]):
-            shown = text if text.isascii() else plain(text)
-            found = spans(shown)
-            told = set(names) if names is not None else set()
-            hits = [(s, e) for s, e, t in name_words(shown, found) if t in told]
-            # words of one name are one placeholder
-            joined: list[list[int]] = []
-            for s, e in hits:
-                if joined and re.fullmatch(r"[\s.\-,]*(?:\b\w\.?[\s.\-]*)?(?:(?:el|al|abd|ال|عبد)[\s\-]*)*", shown[joined[-1][1] : s], re.I):
-                    joined[-1][1] = e
-                else:
-                    joined.append([s, e])
-            made, at = [], 0
-            for s, e, kind in sorted([*found, *((s, e, "person_name") for s, e in joined)]):
-                made += [shown[at:s], PLACEHOLDERS[kind]]
-                at = e
-            out.append("".join(made) + shown[at:] if made else text)
-        yield b.drop(columns="names").assign(sanitised=out)
+        yield b.drop(columns=["names", "towns"]).assign(sanitised=[replaced(t, of(n), of(w)) for t, n, w in zip(b["text"], b["names"], b["towns"])])
 
 
 def sanitised(analyses: DataFrame) -> DataFrame:
-    """receipt_id, field, pos, text, sanitised: every line and token text with placeholders for what it discloses."""
-    read, words = disclosing(analyses)
-    named = read.where(~F.col("first")).select("receipt_id", "field", "pos", F.explode("words").alias("word")).join(words, "word", "left_semi").groupBy("receipt_id", "field", "pos").agg(F.collect_set("word").alias("names"))
-    rows = read.select("receipt_id", "field", "pos", "text").join(named, ["receipt_id", "field", "pos"], "left")
-    return rows.mapInPandas(_replaced, "receipt_id string, field string, pos int, text string, sanitised string")
+    """receipt_id, field, pos, text, sanitised: every line and token text with placeholders for what it discloses. The text
+    between placeholders is unchanged."""
+    read, words, places = disclosing(analyses)
+    keys = ["receipt_id", "field", "pos"]
+    named = persons(read, words).groupBy(*keys).agg(F.collect_set("word").alias("names"))
+    near = read.where("size(behind) > 0").select(*keys, F.explode("behind").alias("word")).join(places, "word", "left_semi").groupBy(*keys).agg(F.collect_set("word").alias("towns"))
+    numbered = read.select(*keys, "text", (F.size("kinds") > 0).alias("formed")).join(named, keys, "left").join(near, keys, "left")
+    # most texts hold nothing and stay in the JVM
+    some = F.col("formed") | F.col("names").isNotNull()
+    done = numbered.where(some).drop("formed").mapInPandas(_replaced, "receipt_id string, field string, pos int, text string, sanitised string")
+    return done.unionByName(numbered.where(~some).select(*keys, "text", F.col("text").alias("sanitised")))
+
+
+def disclosure(analyses: DataFrame) -> DataFrame:
+    """field, texts, disclosing (texts with a word that discloses a person), bits_before and bits_after: the mean over texts of the
+    most bits that one of their words holds of a person's name, as written and with what `sanitised` leaves."""
+    read, words, _ = disclosing(analyses)
+    keys = ["receipt_id", "field", "pos"]
+    terms = term_disclosure(read.where("field = 'tokens'")).select("word", F.greatest("person_bits", F.lit(0.0)).alias("known"))
+    gone = persons(read, words).select(*keys, "word").distinct().withColumn("gone", F.lit(True))
+    at = read.select(*keys, F.explode_outer(F.array_distinct("words")).alias("word")).join(terms, "word", "left").join(words.withColumnRenamed("bits", "told"), "word", "left").join(gone, [*keys, "word"], "left")
+    bits = F.coalesce("told", "known", F.lit(0.0))
+    per = at.groupBy(*keys).agg(F.max(bits).alias("before"), F.max(F.when(F.col("gone"), 0.0).otherwise(bits)).alias("after"), F.max(F.coalesce("gone", F.lit(False)).cast("int")).alias("told"))
+    return per.groupBy("field").agg(F.count(F.lit(1)).alias("texts"), F.sum("told").alias("disclosing"), F.round(F.avg("before"), 6).alias("bits_before"), F.round(F.avg("after"), 6).alias("bits_after"))

@@ -31,6 +31,11 @@ def p3_sanitised(spark: SparkSession, folder: str) -> DataFrame:
     return pii.sanitised(table(spark, folder, "receipt_analyses"))
 
 
+def p3_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    """The bits that the texts disclose of persons, before and after."""
+    return pii.disclosure(table(spark, folder, "receipt_analyses"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return forms.disguised(table(spark, folder, "ocr_lines")).select("receipt_id", "line_no", "field", "pos").distinct()
 
@@ -61,5 +66,5 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.rates(truncation.judged(table(spark, folder, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p4_found": p4_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p3_disclosure": p3_disclosure, "p4_found": p4_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
 ORACLE: dict[str, str] = {}
