@@ -45,13 +45,9 @@ QUERIES = {"p5_found": p5_found, "p5_keep_image_messages": p5_keep_image_message
 
 
 def _keep_sql(t: str, identifier: str, order: str, key: str, columns: str) -> str:
-    # the copies of the first batch span are compared by arrival; spans as in batch_rounds(rounds=3)
     return f"""
-    WITH span AS (SELECT min(batch_id) AS low, greatest(1, CAST(ceil((max(batch_id) - min(batch_id) + 1) / 3.0) AS BIGINT)) AS step FROM {t}),
-    ranked AS (
-      SELECT x.*, row_number() OVER (PARTITION BY channel, {identifier}
-        ORDER BY (CASE WHEN batch_id IS NULL THEN 0 ELSE (batch_id - low) // step END), {order} NULLS FIRST, {key}) AS rn
-      FROM {t} x, span)
+    WITH ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY channel, {identifier} ORDER BY batch_id NULLS FIRST, {order} NULLS FIRST, {key}) AS rn FROM {t})
     SELECT {columns} FROM ranked WHERE {identifier} IS NULL OR rn = 1"""
 
 

@@ -17,12 +17,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which every executor shares.
 
-    Only where the session names none (tests on one machine) is a folder of our own made and remembered in the session.
+    Only where the session names none and runs on one machine (tests) is a folder of our own made and remembered in the
+    session; on a cluster a machine's own folder would be lost with it, so there the setting is needed.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("spark.qirtas.folder", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="qirtas-")
         spark.conf.set("spark.qirtas.folder", folder)
     return folder.rstrip("/")

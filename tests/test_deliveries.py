@@ -23,23 +23,22 @@ def rows():
 def test_repeated_equals_counting(spark):
     data = rows()
     n = Counter((r[2], r[3]) for r in data if r[3] is not None)
-    got = {tuple(r) for r in repeated(spark.createDataFrame(data, SCHEMA), prefixes=4, **HOW).collect()}
+    got = {tuple(r) for r in repeated(spark.createDataFrame(data, SCHEMA), **HOW).collect()}
     assert got == {k for k, c in n.items() if c > 1}
 
 
 def test_keep_one_keeps_every_row_without_identifier_and_one_of_each(spark):
     data = rows()
-    got = keep_one(spark.createDataFrame(data, SCHEMA), prefixes=4, rounds=2, **HOW)
+    got = keep_one(spark.createDataFrame(data, SCHEMA), rounds=5, **HOW)
     assert got.columns == [c.split()[0] for c in SCHEMA.split(", ")]
     got = [tuple(r) for r in got.collect()]
     assert Counter((r[2], r[3]) for r in got if r[3] is not None) == Counter({(r[2], r[3]) for r in data if r[3] is not None})
     assert sorted(r[0] for r in got if r[3] is None) == sorted(r[0] for r in data if r[3] is None)
     assert set(got) <= set(data)
-    # of the first span the first by time, nulls first, then by key
+    # the first by batch, then by time, nulls first, then by key: whatever the spans
     kept = {(r[2], r[3]): r[0] for r in got if r[3] is not None}
-    first = [r for r in data if (r[1] is None or r[1] <= 5) and r[3] is not None]
-    for k in {(r[2], r[3]) for r in first}:
-        assert kept[k] == min((r[4] is not None, r[4] or 0, r[0]) for r in first if (r[2], r[3]) == k)[2]
+    for k in {(r[2], r[3]) for r in data if r[3] is not None}:
+        assert kept[k] == min((r[1] is not None, r[1] or 0, r[4] is not None, r[4] or 0, r[0]) for r in data if (r[2], r[3]) == k)[4]
 
 
 def test_empty_table(spark):
@@ -49,14 +48,37 @@ def test_empty_table(spark):
 
 def test_index_lives_on_and_merges(spark, tmp_path):
     path = f"file://{tmp_path}/index"
-    seen = set()
+    seen, merges = set(), 0
     for k in range(6):
         batch = [(k * 10 + j, "a", str(k * 2 + j)) for j in range(4)]
-        index = DeliveryIndex(spark, path, prefixes=2, fan_in=3)
+        index = DeliveryIndex(spark, path, prefixes=5, fan_in=2)
         got = index.ingest(spark.createDataFrame(batch, "id bigint, c string, m string"), F.col("c"), F.col("m"), [], "id").collect()
         assert {r["identifier"]: r["known"] for r in got} == {m: m in seen for _, _, m in batch}
         seen |= {m for _, _, m in batch}
-        assert len(index.runs) < 3
+        merges += index.merges
+        assert all(len(own) < 2 for own in index.tiers.values())
+    # six runs, two of a tier at a time
+    assert merges == 4 and sorted(t for t, own in index.tiers.items() if own) == [1, 2]
+    assert {i[3:] for r in index._read(index.runs).collect() for i in r["ids"]} == seen
+
+
+def test_blocks_are_sorted_and_bounded(spark, monkeypatch):
+    from qirtas.operators import deliveries
+
+    index = DeliveryIndex(spark, prefixes=3)
+    index.ingest(spark.range(1000).select("id", F.lit("c").alias("c"), F.col("id").cast("string").alias("m")), F.col("c"), F.col("m"), [], "id")
+    blocks = index._read(index.runs).collect()
+    assert all(list(r["ids"]) == sorted(r["ids"]) for r in blocks) and sum(len(r["ids"]) for r in blocks) == 1000
+    assert deliveries.prefixes_for(10) == 8 and deliveries.prefixes_for(10**9) == 4000
+
+
+def test_a_small_batch_reads_its_prefixes_only(spark):
+    index = DeliveryIndex(spark, prefixes=16)
+    index.ingest(spark.range(2000).select("id", F.lit("c").alias("c"), F.col("id").cast("string").alias("m")), F.col("c"), F.col("m"), [], "id")
+    some = index._read(index.runs, [3])
+    assert "PartitionFilters: [" in some._jdf.queryExecution().toString() and {r["prefix"] for r in some.collect()} == {3}
+    got = index.ingest(spark.createDataFrame([(1, "c", "77"), (2, "c", "new")], "id bigint, c string, m string"), F.col("c"), F.col("m"), [], "id")
+    assert {r["identifier"]: r["known"] for r in got.collect()} == {"77": True, "new": False}
 
 
 @settings(max_examples=50)
