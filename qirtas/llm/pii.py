@@ -78,7 +78,8 @@ ADDRESS = re.compile(
 )
 PLACE = re.compile(rf"(?<!\w){_PLACE}")
 #: Words without which nothing is an address.
-STREETISH = re.compile(rf"\b(?:{STREET_AFTER}|{BUILDING})\b|{STREET_BEFORE}|{BUILDING}", re.I)
+STREETISH = re.compile(rf"\b{STREET_AFTER}\b|{BUILDING}|{STREET_BEFORE}", re.I)
+UNNUMBERED = re.compile(STREET_BEFORE)
 LANDLINE = re.compile(r"(?:0020|20)?0?(?:2\d{8}|3\d{7}|(?:13|15|40|4[5-8]|50|55|57|6[2-9]|8[246-8]|9[2-7])\d{7})")
 #: Ten digits in the groups in which they are dialled elsewhere.
 GROUPED = re.compile(r"(?:\(\d{3}\)\s?|\d{3}[.\-])\d{3}[.\-]\d{4}")
@@ -135,7 +136,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     if digit:
         add(ID, "id_number", is_national_id)
         add(PASSPORT, "id_number")
-    if STREETISH.search(text):
+    if (STREETISH if digit else UNNUMBERED).search(text):
         add(ADDRESS, "address")
     if digit:
         add(PHONE, "phone", is_phone)
@@ -166,22 +167,45 @@ def name_words(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int,
             part = PLACE.sub(lambda m: " " * len(m[0]), part)
         for phrase in _PHRASE.finditer(part):
             words = [(s + phrase.start() + m.start(), s + phrase.start() + m.end(), m[0]) for m in _WORD.finditer(phrase[0])]
-            if any(is_trade(w.lower().translate(_FOLD)) for _, _, w in words) or "*" in phrase[0]:
+            told = [_told(w) for _, _, w in words]
+            if any(t is None for t in told) or "*" in phrase[0]:
                 continue
-            out += [(a, b, term(w)) for a, b, w in words if len(w) > 1 and w not in NEVER_ALONE]
+            out += [(a, b, t) for (a, b, _), t in zip(words, told) if t]
+    return out
+
+
+def _lessened(word: str, letters: int) -> set[str]:
+    """A word with up to so many letters left out: words as many edits apart have one in common."""
+    out = {word}
+    for _ in range(letters):
+        out |= {w[:k] + w[k + 1 :] for w in out for k in range(len(w))}
     return out
 
 
 _TRADES = {w.translate(_FOLD) for w in TRADE_WORDS}
-_LONG_TRADES = [w for w in _TRADES if len(w) >= 6]
+_NEAR_TRADES: dict[str, list[str]] = {}
+for _w in sorted(_TRADES):
+    for _v in _lessened(_w, 2 if len(_w) >= 9 else 1) if len(_w) >= 6 else ():
+        _NEAR_TRADES.setdefault(_v, []).append(_w)
 
 
 @lru_cache(maxsize=200_000)
 def is_trade(word: str) -> bool:
-    """Whether a word is a trade word, or a long one with a slip."""
+    """Whether a word is a trade word, or a long one with a slip; with two in words of nine letters or more."""
     if word in _TRADES:
         return True
-    return len(word) >= 6 and any(abs(len(word) - len(t)) <= 2 and edits(word, t) <= (2 if len(t) >= 9 else 1) for t in _LONG_TRADES)
+    if not 6 <= len(word) <= 40:
+        return False
+    near = {t for v in _lessened(word, 2 if len(word) >= 8 else 1) for t in _NEAR_TRADES.get(v, ())}
+    return any(edits(word, t) <= (2 if len(t) >= 9 else 1) for t in near)
+
+
+@lru_cache(maxsize=200_000)
+def _told(word: str) -> str | None:
+    """The term of a word, '' if it says nothing, None if it names a trade."""
+    if is_trade(word.lower().translate(_FOLD)):
+        return None
+    return term(word) if len(word) > 1 and word not in NEVER_ALONE else ""
 
 
 def items(analyses: DataFrame) -> DataFrame:
@@ -211,8 +235,10 @@ READ_SCHEMA = "receipt_id string, field string, pos int, text string, role strin
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Forms and possible name words of each item; once per distinct text of a batch."""
+    known: dict[str, tuple] = {}
     for b in batches:
-        known: dict[str, tuple] = {}
+        if len(known) > 300_000:
+            known.clear()
         rows = []
         for text in b["text"]:
             if (got := known.get(text)) is None:
