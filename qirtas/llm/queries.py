@@ -57,6 +57,12 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p8_mixed(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p8_marginals(spark: SparkSession, folder: str) -> DataFrame:
+    """How far languages and topics of the mixture are from those of the corpus."""
+    documents, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
+    return mixing.marginals(mixing.mixed(documents, targets), mixing.expected(documents, targets)[0])
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.judged(table(spark, folder, "documents")).where("cut").select("doc_id").distinct()
 
@@ -66,5 +72,5 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.rates(truncation.judged(table(spark, folder, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p3_disclosure": p3_disclosure, "p4_found": p4_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p3_disclosure": p3_disclosure, "p4_found": p4_found, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_marginals": p8_marginals, "p9_found": p9_found, "p9_rates": p9_rates}
 ORACLE: dict[str, str] = {}

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from qirtas.llm import mixing as M
 from qirtas.llm import packing as B
@@ -59,6 +60,26 @@ def test_packed(spark, block):
     assert B.report(B.packed(df, sizes), sizes).count() == 2
 
 
+def test_each_capacity_changes_the_result():
+    rnd = np.random.default_rng(3)
+    sizes = np.concatenate([rnd.integers(1, 8, 300), rnd.integers(20, 95, 200)])
+    loose = B.best_fit(sizes, B.capacities(100, B.Limits(0.5, 1.0)))
+    few = B.best_fit(sizes, B.capacities(100, B.Limits(25, 1.0)))
+    cheap = B.best_fit(sizes, B.capacities(100, B.Limits(0.5, 0.5)))
+    assert max(np.bincount(few)) == 4 < max(np.bincount(loose))
+    cost = np.bincount(cheap, weights=sizes.astype(float) ** 2)
+    assert all(c <= 5000 or n == 1 for c, n in zip(cost, np.bincount(cheap))) and np.bincount(loose, weights=sizes.astype(float) ** 2).max() > 5000
+    assert not np.array_equal(loose, few) and not np.array_equal(loose, cheap)
+    # by default both bind
+    default = B.capacities(100)
+    assert default[1] < 100 and default[2] < 100**2
+
+
+def test_too_many_sizes(spark):
+    with pytest.raises(ValueError):
+        B.packed(spark.createDataFrame([(1, 1)], "doc_id bigint, tokens bigint"), spark.range(B.MAX_SIZES + 1).selectExpr("cast(id as int) size_id", "10 capacity_tokens"))
+
+
 def test_rake_meets_sources_exactly_under_caps():
     rnd = np.random.default_rng(4)
     tokens = rnd.integers(1, 1000, 60).astype(float)
@@ -85,3 +106,22 @@ def test_mixed(spark):
     report = {r["source"]: r for r in M.shares(M.mixed(df, targets), targets).collect()}
     assert report["gone"]["tokens"] == 0 and report["a"]["most_copies"] == 1
     assert M.mixed(df.limit(0), targets).count() == 0 and M.mixed(df, targets.limit(0)).count() == 0
+
+
+def test_a_total_beyond_what_a_source_can_give(spark):
+    rnd = random.Random(8)
+    docs = [(k, "word " * rnd.randint(5, 30), rnd.choice(["en", "ar"]), "a" if k < 400 else "b") for k in range(440)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    have = {r["source"]: r["t"] for r in M.expected(df, targets)[0].groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    total = 2 * (3 * have["b"] + 500)
+    drawn = M.mixed(df, targets, total_tokens=total)
+    report = {r["source"]: r for r in M.shares(drawn, targets, total).collect()}
+    assert report["b"]["tokens"] == 3 * have["b"] and report["b"]["shortfall"] == 500 and report["b"]["most_copies"] == 3
+    assert abs(report["a"]["tokens"] - total / 2) <= 40 and report["a"]["shortfall"] <= 40
+    small = M.shares(M.mixed(df, targets, total_tokens=have["b"]), targets, have["b"]).collect()
+    assert all(abs(r["tokens"] - have["b"] / 2) <= 40 for r in small)
+    left = M.marginals(drawn, M.expected(df, targets)[0]).collect()
+    assert {(r["dimension"], r["value"]) for r in left} == {("lang", "en"), ("lang", "ar"), ("topic", "message")} and all(abs(r["residual"]) < 0.1 for r in left)
+    with pytest.raises(ValueError):
+        M.mixed(df, spark.range(M.MAX_SOURCES + 1).selectExpr("cast(id as string) source", "0.1D target_share", "1 max_repeats"))
