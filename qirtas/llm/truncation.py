@@ -33,7 +33,9 @@ SIGNATURE = r"\n-- \n\d[\d.]*\n*$"
 
 #: A title's final pair counts as an ordinary end if at least this share of its occurrences end a title.
 END_SHARE = 0.03
-#: Occurrences that make a word, a pair or a continuation known.
+#: A token is no word of its own if it stands alone at most this share as often as longer words run through its node.
+KNOWN_SHARE = 0.05
+#: Occurrences that a continuation needs to be one.
 KNOWN = 2
 #: Occurrences from which on the places where a word or a pair stands say something.
 OFTEN = 20
@@ -240,7 +242,7 @@ def judged(documents: DataFrame) -> DataFrame:
     known = known.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     known = known.join(crowded.select(F.col("source").alias("_s"), F.col("length").alias("_l"), "crowd", "same_length"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("length") == F.col("_l")), "left").drop("_s", "_l")
     wordlike = F.col("word").rlike(r"(?U)^[\p{L}_]")
-    prefix = wordlike & (zero("seen") < KNOWN) & (zero("through") >= KNOWN)
+    prefix = wordlike & (zero("seen") <= KNOWN_SHARE * zero("through")) & (zero("through") >= KNOWN)
     pair_prefix = wordlike & (zero("pair_n") + zero("finals") <= 1 + F.floor(zero("pair_through") / 20)) & (zero("pair_ends") == 0) & (zero("pair_through") >= KNOWN)
     middle = wordlike & (zero("pair_n") >= OFTEN) & (zero("pair_ends") + zero("finals") < F.greatest(F.lit(END_SHARE) * (zero("pair_n") + zero("finals")), F.lit(1.5)))
     middle_word = wordlike & (zero("word_n") >= OFTEN) & (zero("word_ends") == 0) & (zero("pair_ends") == 0) & (zero("finals") <= 1)
@@ -250,10 +252,10 @@ def judged(documents: DataFrame) -> DataFrame:
         .when((F.col("signs") > 0.5) & ~F.col("signed"), True)
         .when(F.col("state") == "diff", (prefix & ~F.col("closed") | limit) & ~F.col("signed"))
         .when(F.col("state") == "binary", False)
-        .when(F.col("state") == "trailer", prefix & ~F.col("closed"))
-        .when(F.col("state") == "list", prefix | pair_prefix)
-        .when(F.col("state") == "title", ~F.col("closed") & (prefix | pair_prefix | middle | middle_word))
-        .otherwise(~F.col("closed"))
+        .when(F.col("state") == "trailer", prefix & ~F.col("closed") | limit)
+        .when(F.col("state") == "list", prefix | pair_prefix | limit)
+        .when(F.col("state") == "title", ~F.col("closed") & (prefix | pair_prefix | middle | middle_word) | limit)
+        .otherwise(~F.col("closed") & (prefix | pair_prefix) | limit)
     )
     return known.select("doc_id", "source", "length", "state", "signed", "prev", "word", "closed", "seen", "through", "pair_n", "pair_ends", "pair_through", "word_n", "word_ends", "finals", limit.alias("at_limit"), F.coalesce(cut, F.lit(False)).alias("cut"))
 

@@ -20,17 +20,25 @@ def test_tail(text, state):
     assert T.tail(1, "s", text)[3] == state
 
 
-def corpus():
+def corpus(size=300):
     rnd = random.Random(1)
     verbs, things, ends = ["Fix", "Rework", "Drop"], ["config reader", "label matcher", "queue depth"], ["during rollback", "on slow networks", ""]
     docs = []
-    for k in range(300):
+    for k in range(size):
         title = f"{rnd.choice(verbs)} {rnd.choice(things)} {rnd.choice(ends)}".strip()
-        body = f"The {rnd.choice(things)} was wrong {rnd.choice(ends) or 'before'}. Nothing else depends on the {rnd.choice(things)}."
+        body = f"The {rnd.choice(things)} was wrong {rnd.choice(ends) or 'before'}. Nothing else depends on the {rnd.choice(things)}{rnd.choice([' wr', ' mat', '']) if size > 300 and k % 400 == 0 else ''}."
         docs.append((k, "mail" if k % 3 == 0 else "forge", f"{title}\n\n{body}" + ("\n-- \n2.4.1\n" if k % 3 == 0 else "")))
     return docs
 
 
+def test_more_text_does_not_make_cut_words_known(spark):
+    """The ends of cut words are met as words too, the more text there is: what counts is their share."""
+    cut = {100_000: "Fix config read", 100_001: "Rework label mat", 100_002: "Fix queue depth\n\nThe label matcher was wr"}
+    for size in (300, 4000):
+        df = spark.createDataFrame([(k, s, x) for k, s, x in corpus(size)] + [(k, "forge", x) for k, x in cut.items()], "doc_id bigint, source string, text string")
+        assert {r["doc_id"] for r in T.judged(df).where("cut").collect()} == set(cut), size
+
+
 def test_table(spark):
     docs = corpus()
     cut = {1000: "Fix config read", 1001: "Rework label mat", 1002: "Drop queue depth on slow", 1003: "Fix queue depth\n\nThe label matcher was wr", 1004: DIFF[:-8], 1005: "Fix label matcher..."}
