@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,31 +21,42 @@ def similarity(a: str, b: str) -> float:
 
 
 def _misspelt(rows: list[tuple]):
-    """norm -> index of the most similar label, -1 if none is similar enough; ties go to the earlier label."""
+    """norm -> index of the most similar label, -1 if none is similar enough; ties go to the earlier label.
+
+    The letters that two texts share bound their ratio: only the labels that it can still reach are compared.
+    """
     long = [(r[0], r[3]) for r in rows if len(r[0]) >= FUZZY_LENGTH]
+    sizes = np.array([len(label) for label, _ in long])
+    letters: dict[str, np.ndarray] = {}
+    for k, (label, _) in enumerate(long):
+        for ch in label:
+            letters.setdefault(ch, np.zeros(len(long), dtype=np.int64))[k] += 1
+    # 2 x the shorter length / both lengths bounds the ratio too
+    longest = int(max((len(label) for label, _ in long), default=0) * (2 / FUZZY_RATIO - 1)) + 1
 
     def one(n: str) -> int:
+        if not FUZZY_LENGTH <= len(n) <= longest:
+            return -1
+        same = np.zeros(len(long), dtype=np.int64)
+        for ch, count in Counter(n).items():
+            if ch in letters:
+                same += np.minimum(letters[ch], count)
         best, at = FUZZY_RATIO, -1
-        matcher = difflib.SequenceMatcher(None, n, "")
-        for label, k in long:
-            # 2 x the shorter length / both lengths bounds the ratio
-            if 2 * min(len(n), len(label)) < best * (len(n) + len(label)):
-                continue
-            matcher.set_seqs(n, label)
-            if matcher.real_quick_ratio() < best or matcher.quick_ratio() < best:
-                continue
-            ratio = matcher.ratio()
+        for k in np.flatnonzero(2 * same >= FUZZY_RATIO * (sizes + len(n)) - 1e-9):
+            ratio = difflib.SequenceMatcher(None, n, long[k][0]).ratio()
             if ratio > best or (at < 0 and ratio >= best):
-                best, at = ratio, k
+                best, at = ratio, long[k][1]
         return at
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, int] = {}
+        known: dict[str, int] = {"": -1}
         for b in batches:
+            if len(known) > 500_000:
+                known = {"": -1}
             out = []
             for n in b:
                 if n not in known:
-                    known[n] = one(n) if n and FUZZY_LENGTH <= len(n) <= 60 else -1
+                    known[n] = one(n)
                 out.append(known[n])
             yield pd.Series(out, dtype="int32")
 
@@ -60,26 +73,40 @@ def labelled(lines: DataFrame, key: list[str], vocabulary: list[tuple] | None =
     """lines with kind (field, party), target and inline (the value in the same line, '' if none); null where no label is.
 
     key: columns that identify a line. Exact labels win over misspelt ones, those over labels with a value in the line; of
-    these the earlier label, then the shorter one, then one in front. Null text has no label.
+    these the earlier label, then the shorter one, then one in front. Null text has no label. All of it is a projection: labels
+    are looked up in a map of the vocabulary, nothing is exploded, joined or shuffled.
     """
     rows = vocabulary or label_rows()
-    spark = lines.sparkSession
-    known = F.broadcast(spark.createDataFrame(rows, "label string, kind string, target string, ord int"))
-    by_ord = F.broadcast(spark.createDataFrame([(r[3], r[1], r[2]) for r in rows], "fuzzy int, f_kind string, f_target string"))
-    base = lines.withColumn("_norm", T.norm(F.col("text"))).join(known.select(F.col("label").alias("_norm"), F.col("kind").alias("e_kind"), F.col("target").alias("e_target")), "_norm", "left")
+    told = lambda r: F.struct(F.lit(r[1]).alias("kind"), F.lit(r[2]).alias("target"), F.lit(r[3]).alias("ord"))
+    by_norm = F.create_map(*[x for r in rows for x in (F.lit(r[0]), told(r))])
+    by_ord = F.create_map(*[x for r in rows for x in (F.lit(r[3]), told(r))])
+    base = lines.withColumn("_norm", T.norm(F.col("text"))).withColumn("_exact", F.try_element_at(by_norm, F.col("_norm")))
     # an empty text is compared with nothing
-    fuzzy = _misspelt(rows)(F.coalesce(F.when(F.col("e_kind").isNull(), F.col("_norm")), F.lit("")))
-    base = base.withColumn("fuzzy", fuzzy).join(by_ord, "fuzzy", "left")
+    base = base.withColumn("_fuzzy", _misspelt(rows)(F.coalesce(F.when(F.col("_exact").isNull(), F.col("_norm")), F.lit(""))))
+    base = base.withColumn("_whole", F.coalesce("_exact", F.try_element_at(by_ord, F.col("_fuzzy"))))
     # every split of a line into a label and a value; a part of more words than any label has is none
     most = max((len(r[0].split(" ")) for r in rows), default=0)
-    open_ = base.where("e_kind is null and f_kind is null").select(*key, F.split(F.trim("text"), " ").alias("w")).where(F.size("w") >= 2)
-    # the normalised words of each word: none for a mark that stands alone, several for words joined by marks
-    open_ = open_.withColumn("c", F.transform("w", lambda x: F.size(F.filter(F.split(T.norm(x), " "), lambda y: y != ""))))
-    reach = lambda c: F.aggregate(c, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("k")), lambda s, n: F.struct((s["sum"] + n).alias("sum"), F.when(s["sum"] + n <= most, s["k"] + 1).otherwise(s["k"]).alias("k")), lambda s: F.least(s["k"], F.size(c) - 1))
-    open_ = open_.select(*key, "w", reach(F.col("c")).alias("front"), reach(F.reverse("c")).alias("back"))
-    cut = F.explode(F.expr("concat(if(front < 1, array(), transform(sequence(1, front), k -> struct(k as k, 0 as side, array_join(slice(w, 1, k), ' ') as part, array_join(slice(w, k + 1, size(w) - k), ' ') as rest))), if(back < 1, array(), transform(sequence(1, back), k -> struct(k as k, 1 as side, array_join(slice(w, size(w) - k + 1, k), ' ') as part, array_join(slice(w, 1, size(w) - k), ' ') as rest))))"))
-    met = open_.select(*key, cut.alias("s")).select(*key, "s.*").join(known, T.norm(F.col("part")) == F.col("label")).where((F.col("kind") == "party") | V.valid(F.col("target"), F.col("rest")))
-    best = met.groupBy(*key).agg(F.min_by(F.struct("kind", "target", "rest"), F.struct("ord", "k", "side")).alias("i"))
-    kind = F.coalesce("e_kind", "f_kind", "i.kind")
-    out = base.join(best, key, "left")
-    return out.select(*[F.col(c) for c in lines.columns], kind.alias("kind"), F.coalesce("e_target", "f_target", "i.target").alias("target"), F.when(kind.isNotNull(), F.coalesce(F.when(F.col("e_kind").isNull() & F.col("f_kind").isNull(), F.col("i.rest")), F.lit(""))).alias("inline"))
+    w, n = F.split(F.trim("text"), " "), F.col("_n")
+    # the normalised form of each word: '' for a mark that stands alone, several words for words joined by marks
+    base = base.withColumn("_w", F.when(F.col("_whole").isNull(), w)).withColumn("_n", F.transform("_w", T.norm))
+    count = lambda c: F.transform(c, lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, " "))))
+    reach = lambda c: F.aggregate(c, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("k")), lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.when(s["sum"] + x <= most, s["k"] + 1).otherwise(s["k"]).alias("k")), lambda s: F.least(s["k"], F.size(c) - 1))
+    base = base.withColumn("_front", reach(count(n))).withColumn("_back", reach(F.reverse(count(n))))
+    upto = lambda k: F.when(F.col(k) >= 1, F.sequence(F.lit(1), F.col(k))).otherwise(F.array().cast("array<int>"))
+    joined = lambda c: F.array_join(F.filter(c, lambda x: x != ""), " ")
+    size = F.size("_w")
+
+    def split(k, side: int):
+        part, rest = (F.slice(n, F.lit(1), k), F.slice("_w", k + 1, size - k)) if side == 0 else (F.slice(n, size - k + 1, k), F.slice("_w", F.lit(1), size - k))
+        return F.struct(k.alias("k"), F.lit(side).alias("side"), F.try_element_at(by_norm, joined(part)).alias("l"), F.array_join(rest, " ").alias("rest"))
+
+    known = lambda side, k: F.filter(F.transform(upto(k), lambda x: split(x, side)), lambda s: s["l"].isNotNull())
+    base = base.withColumn("_met", F.when(F.col("_whole").isNull() & (size >= 2), F.concat(known(0, "_front"), known(1, "_back"))))
+    fits = F.filter("_met", lambda s: (s["l"]["kind"] == "party") | V.valid(s["l"]["target"], s["rest"]))
+    best = F.array_min(F.transform(fits, lambda s: F.struct(s["l"]["ord"].alias("ord"), s["k"].alias("k"), s["side"].alias("side"), s["l"]["kind"].alias("kind"), s["l"]["target"].alias("target"), s["rest"].alias("rest"))))
+    # V.valid is costly: only where a label was met
+    base = base.withColumn("_best", F.when(F.size("_met") > 0, best))
+    kind = F.coalesce("_whole.kind", "_best.kind")
+    label = F.struct(kind.alias("kind"), F.coalesce("_whole.target", "_best.target").alias("target"), F.when(kind.isNotNull(), F.coalesce(F.when(F.col("_whole").isNull(), F.col("_best.rest")), F.lit(""))).alias("inline"))
+    # a generator of one row: a filter on the label is not pushed below it, where it would compute everything once more
+    return base.select(*[F.col(c) for c in lines.columns], F.explode(F.array(label)).alias("_label")).select(*[F.col(c) for c in lines.columns], "_label.*")
