@@ -22,11 +22,12 @@ def closest(words: list[str], cutoff: float, clear: bool = False, first_letter:
     """A column function: the word of the list most similar to a text, if its difflib ratio reaches the cutoff.
 
     Ties go to the earlier word; with clear, a tie gives null. first_letter: the first letters must agree. Null and empty
-    texts give null; so do texts over 100 characters, which are no misspelt words.
+    texts give null; so do those that are too long to reach the cutoff with any word.
     """
+    longest = max(map(len, words), default=0) * (2 / cutoff - 1) + 1
 
     def one(text: str) -> str | None:
-        if not text or len(text) > 100:
+        if not text or len(text) > longest:
             return None
         best, at, tied = cutoff, None, False
         matcher = difflib.SequenceMatcher(None, "", text)
@@ -66,12 +67,14 @@ def scored_labels(lines: DataFrame, key: list[str], readings: Column, fields: di
             table.setdefault(norm(w), (target, len(table)))
     spark = lines.sparkSession
     known = F.broadcast(spark.createDataFrame([(n, t, k) for n, (t, k) in table.items()], "label string, target string, ord int"))
-    texts = lines.select(*key, F.explode(F.array_distinct(F.transform(readings, T.norm))).alias("n")).where(F.length("n").between(1, 200))
+    texts = lines.select(*key, F.explode(F.array_distinct(F.transform(readings, T.norm))).alias("n")).where(F.length("n") >= 1)
     score = F.when(F.col("n") == F.col("label"), SCORES["exact"]).when(F.col("n").startswith(F.concat("label", F.lit(" "))), SCORES["prefix"]).when(F.col("n").endswith(F.concat(F.lit(" "), F.col("label"))), SCORES["suffix"])
     # whole words first: an equality on the text, its beginnings and its ends
     w = F.split("n", " ")
-    pieces = F.array_distinct(F.expr("concat(transform(sequence(1, size(split(n, ' '))), k -> array_join(slice(split(n, ' '), 1, k), ' ')), transform(sequence(1, size(split(n, ' '))), k -> array_join(slice(split(n, ' '), k, 1000), ' ')))"))
-    whole = texts.where(F.size(w) <= 30).select(*key, "n", F.explode(pieces).alias("label")).join(known, "label").select(*key, "n", "target", score.alias("score"), F.length("label").alias("size"), "ord")
+    # of a text of any length only as many words as the longest label has
+    most = max((len(n.split(" ")) for n in table), default=1)
+    pieces = F.array_distinct(F.expr(f"concat(transform(sequence(1, least({most}, size(w))), k -> array_join(slice(w, 1, k), ' ')), transform(sequence(1, least({most}, size(w))), k -> array_join(slice(w, size(w) - k + 1, k), ' ')))"))
+    whole = texts.withColumn("w", w).select(*key, "n", F.explode(pieces).alias("label")).join(known, "label").select(*key, "n", "target", score.alias("score"), F.length("label").alias("size"), "ord")
     long = [n for n in table if len(n) >= SCORED_LENGTH]
     # texts that no label meets in whole words may misspell one
     rest = texts.join(whole.select(*key, "n").distinct(), [*key, "n"], "left_anti")

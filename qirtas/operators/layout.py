@@ -144,7 +144,7 @@ def text_lines(lines: DataFrame, group: str = "receipt_id", tolerance: float = 0
     return lines.join(found, [group, "line_no"], "left")
 
 
-def merged_boxes(boxes: DataFrame, group: str = "receipt_id", rounds: int = 20) -> DataFrame:
+def merged_boxes(boxes: DataFrame, group: str = "receipt_id") -> DataFrame:
     """group, x0, y0, x1, y1, boxes: boxes that touch joined to their bounding box until none touch.
 
     Each round joins every box with those that it intersects and keeps the bounding box of what they reach; it ends when a
@@ -152,7 +152,7 @@ def merged_boxes(boxes: DataFrame, group: str = "receipt_id", rounds: int = 20)
     """
     now = boxes.select(group, *BOX).where("x0 is not null and y0 is not null and x1 is not null and y1 is not null").groupBy(group, *BOX).agg(F.count(F.lit(1)).alias("boxes"))
     now = written(now, "boxes")
-    for _ in range(rounds):
+    while True:
         a, b = prefixed(now, "a_", [group]), prefixed(now, "b_", [group])
         touch = (F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1"))
         flat = (F.col("a_x0") == F.col("b_x0")) & (F.col("a_y0") == F.col("b_y0")) & (F.col("a_x1") == F.col("b_x1")) & (F.col("a_y1") == F.col("b_y1"))
@@ -161,5 +161,4 @@ def merged_boxes(boxes: DataFrame, group: str = "receipt_id", rounds: int = 20)
         same = grown.count() == now.count() and grown.select(group, *BOX).exceptAll(now.select(group, *BOX)).isEmpty()
         now = grown
         if same:
-            break
-    return now
+            return now

@@ -57,13 +57,22 @@ def signed(bodies: DataFrame, secret: str | None, body: str = "body", signature:
     return bodies.where(F.pandas_udf(verify, "boolean")(F.col(body), F.col(signature)))
 
 
-def reply(result: DataFrame) -> Column:
-    """The lines of a reply from amount, fees, total, currency, reference_id, date, status, notes; null if no sum and no
-    reference is known."""
-    money = lambda name, c: F.when(result[c].isNotNull(), F.concat_ws(" ", F.concat(F.lit(f"{name}: "), result[c].cast("string")), result["currency"]))
-    plain = lambda name, c: F.when(result[c].isNotNull(), F.concat(F.lit(f"{name}: "), result[c]))
-    text = F.concat_ws("\n", F.lit("*Transaction details*"), money("Amount", "amount"), money("Fees", "fees"), money("Total", "total"), plain("Reference", "reference_id"), plain("Date", "date"), plain("Status", "status"), plain("Note", "notes"))
-    return F.when(F.coalesce(result["amount"].cast("string"), result["total"].cast("string"), result["reference_id"]).isNotNull(), text)
+def shown_date(c: Column) -> Column:
+    """An ISO date or time as it is read: 24 Sep 2026, 10:11 PM; what is none stays as it is."""
+    at = F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm")), F.try_to_timestamp(c, F.lit("yyyy-MM-dd")))
+    return F.when(at.isNull(), c).when(c.contains("T"), F.date_format(at, "d MMM yyyy, h:mm a")).otherwise(F.date_format(at, "d MMM yyyy"))
+
+
+def reply(provider: Column, status: Column, kind: Column, sums: dict[str, Column], currency: Column, reference: Column, date: Column, note: Column, parties: dict[str, list[Column]]) -> Column:
+    """The lines of a reply in order; null if neither amount nor total nor reference is known. sums: Amount, Fees, Total. date: as
+    ISO text. parties: From and To with their values in order."""
+    line = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), c.cast("string")))
+    lines = [line("Provider", provider), line("Status", status), line("Type", kind)]
+    lines += [F.when(c.isNotNull(), F.concat_ws(" ", line(name, c), currency)) for name, c in sums.items()]
+    lines += [line("Reference", reference), line("Date", shown_date(date)), line("Note", note)]
+    lines += [line(name, F.nullif(F.concat_ws(", ", *values), F.lit(""))) for name, values in parties.items()]
+    known = F.coalesce(sums["Amount"].cast("string"), sums["Total"].cast("string"), reference)
+    return F.when(known.isNotNull(), F.concat_ws("\n", F.lit("*Transaction details*"), *lines))
 
 
 def parts_of(text: str, most: int = MAX_PART) -> list[str]:

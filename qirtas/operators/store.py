@@ -47,3 +47,31 @@ def flat_parties(parties: DataFrame, fields: list[str], key: str = "receipt_id",
     """One row per key with <side>_<field> columns for sender and receiver; of several rows of a side the first party_id."""
     first = lambda s, f: F.min_by(f, F.when(F.col(side) == s, F.col("party_id"))).alias(f"{s}_{f}")
     return parties.groupBy(key).agg(*[first(s, f) for s in ("sender", "receiver") for f in fields])
+
+
+PARTY_COLUMNS = ("name", "phone", "email", "account", "bank")
+
+
+def result_columns(results: DataFrame, key: str = "receipt_id") -> DataFrame:
+    """Extraction results as columns of the store: key, extraction_status (extracted if amount, total or reference is known, else
+    no_data), the plain fields, the columns of both parties (an account that is an e-mail address is one), and what has no
+    column as JSON in other_data: via and further values of a party, and the leftovers that have a type; null if nothing is left."""
+    found = F.coalesce(F.col("amount").cast("string"), F.col("total").cast("string"), F.col("reference"))
+    columns, extra = [], []
+    for side in ("sender", "receiver"):
+        dotted = F.coalesce(V.is_dotted(F.col(f"{side}.account")), F.lit(False))
+        of = {c: F.col(f"{side}.{c}") for c in ("name", "phone", "bank")} | {"email": F.when(dotted, F.col(f"{side}.account")), "account": F.when(~dotted, F.col(f"{side}.account"))}
+        columns += [of[c].alias(f"{side}_{c}") for c in PARTY_COLUMNS]
+        via, other = F.col(f"{side}.via"), F.col(f"{side}.other")
+        extra.append(F.when(via.isNotNull() | other.isNotNull(), F.struct(via.alias("via"), other.alias("other"))).alias(side))
+    typed = F.transform(F.filter("unmapped", lambda u: u["type"].isNotNull()), lambda u: F.struct(u["text"].alias("text"), u["type"].alias("type")))
+    extra.append(F.when(F.size(typed) > 0, typed).alias("unmapped"))
+    return results.select(
+        key, F.when(found.isNotNull(), "extracted").otherwise("no_data").alias("extraction_status"), F.lit(None).cast("string").alias("error"), "provider", F.col("status").alias("transfer_status"), F.col("type").alias("transfer_type"),
+        "amount", "fees", "total", "currency", F.col("reference").alias("reference_id"), F.col("datetime").alias("date"), F.col("note").alias("notes"), *columns, F.nullif(F.to_json(F.struct(*extra)), F.lit("{}")).alias("other_data"),
+    )
+
+
+def failures(errors: DataFrame, key: str = "receipt_id", error: str = "error") -> DataFrame:
+    """key, extraction_status, error of receipts whose image could not be had or read; to be merged like results."""
+    return errors.select(key, F.lit("failed").alias("extraction_status"), F.col(error).alias("error"))

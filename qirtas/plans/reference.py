@@ -134,8 +134,11 @@ def status_of_receipt(spark: SparkSession, folder: str) -> DataFrame:
 def provider_by_keywords(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "canon_values").where("field = 'provider'")
     k = names.select("canon_id", F.explode(F.array(T.norm(F.col("name_en")), T.norm(F.col("name_ar")))).alias("keyword"))
-    rows = table(spark, folder, "ocr_lines").select("receipt_id", F.concat(F.lit(" "), T.norm(F.col("text")), F.lit(" ")).alias("n"))
-    hits = rows.join(k, F.col("n").contains(F.concat(F.lit(" "), F.col("keyword"), F.lit(" ")))).groupBy("receipt_id", "canon_id").agg(F.count(F.lit(1)).alias("hits"))
+    # whole words: the runs of words of a line, as long as the longest keyword, are looked up by equality
+    most = k.agg(F.max(F.size(F.split("keyword", " ")))).first()[0] or 0
+    runs = f"array_distinct(flatten(transform(sequence(1, least({most}, size(w))), n -> transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' ')))))"
+    rows = table(spark, folder, "ocr_lines").select("receipt_id", F.split(T.norm(F.col("text")), " ").alias("w")).where(F.lit(most > 0)).select("receipt_id", F.explode(F.expr(runs)).alias("keyword"))
+    hits = rows.join(k, "keyword").groupBy("receipt_id", "canon_id").agg(F.count(F.lit(1)).alias("hits"))
     return hits.groupBy("receipt_id").agg(F.max_by("canon_id", F.struct("hits", -F.col("canon_id"))).alias("canon_id"))
 
 
@@ -177,13 +180,18 @@ def boxes_joined(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-  SELECT a.receipt_id, a.line_no FROM ocr_lines a WHERE a.x0 IS NOT NULL AND EXISTS (
-    SELECT 1 FROM ocr_lines b WHERE b.receipt_id = a.receipt_id AND b.line_no <> a.line_no
+  WITH s AS (SELECT receipt_id, line_no, x0 + 2 AS x0, y0 + 2 AS y0, x1 - 2 AS x1, y1 - 2 AS y1 FROM ocr_lines WHERE x0 IS NOT NULL AND line_no % 2 = 0
+             UNION ALL SELECT receipt_id, line_no, x0 + (x1 - x0) // 2, y0, x1 + (x1 - x0) // 2, y1 FROM ocr_lines WHERE x0 IS NOT NULL AND line_no % 2 = 1)
+  SELECT receipt_id, line_no FROM s a WHERE EXISTS (
+    SELECT 1 FROM ocr_lines b WHERE b.receipt_id = a.receipt_id
       AND greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.8 * (a.x1 - a.x0) * (a.y1 - a.y0))""")
 def boxes_inside(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes drawn a little smaller (even lines), or moved half aside (odd lines), that lie in a box of their receipt."""
     rows = table(spark, folder, "ocr_lines").select("receipt_id", "line_no", *layout.BOX).where("x0 is not null")
-    a, b = layout.prefixed(rows, "a_", ["receipt_id"]), layout.prefixed(rows, "b_", ["receipt_id"])
-    pairs = a.join(b, (a["receipt_id"] == b["receipt_id"]) & (F.col("a_line_no") != F.col("b_line_no")) & layout.inside("a_", "b_"), "left_semi")
+    even, half = F.col("line_no") % 2 == 0, F.expr("(x1 - x0) div 2").cast("int")
+    moved = rows.select("receipt_id", "line_no", F.when(even, F.col("x0") + 2).otherwise(F.col("x0") + half).alias("x0"), F.when(even, F.col("y0") + 2).otherwise(F.col("y0")).alias("y0"), F.when(even, F.col("x1") - 2).otherwise(F.col("x1") + half).alias("x1"), F.when(even, F.col("y1") - 2).otherwise(F.col("y1")).alias("y1"))
+    a, b = layout.prefixed(moved, "a_", ["receipt_id"]), layout.prefixed(rows, "b_", ["receipt_id"])
+    pairs = a.join(b, (a["receipt_id"] == b["receipt_id"]) & layout.inside("a_", "b_"), "left_semi")
     return pairs.select("receipt_id", F.col("a_line_no").alias("line_no"))
 
 
@@ -298,14 +306,22 @@ def webhook_events(spark: SparkSession, folder: str) -> DataFrame:
     return messages.events(_bodies(spark, folder)).select("body_id", "message_id", "party_id", "party_name", "media_ref", "caption", "sha256")
 
 
-@query("""
-  SELECT receipt_id, CASE WHEN coalesce(CAST(amount AS VARCHAR), CAST(total AS VARCHAR), reference_id) IS NOT NULL THEN concat_ws(chr(10), '*Transaction details*',
-    CASE WHEN amount IS NOT NULL THEN concat_ws(' ', 'Amount: ' || amount, currency) END, CASE WHEN fees IS NOT NULL THEN concat_ws(' ', 'Fees: ' || fees, currency) END,
-    CASE WHEN total IS NOT NULL THEN concat_ws(' ', 'Total: ' || total, currency) END, 'Reference: ' || reference_id, 'Date: ' || date, 'Status: ' || status, 'Note: ' || notes) END AS reply
-  FROM receipts""")
+_WHO = ("name", "phone", "email", "account", "bank")
+
+
+@query(f"""
+  SELECT id, CASE WHEN amount IS NOT NULL OR total IS NOT NULL OR reference_id IS NOT NULL THEN '*Transaction details*'
+    || coalesce(chr(10) || 'Provider: ' || provider, '') || coalesce(chr(10) || 'Status: ' || transfer_status, '') || coalesce(chr(10) || 'Type: ' || transfer_type, '')
+    || coalesce(chr(10) || 'Amount: ' || amount || coalesce(' ' || currency, ''), '') || coalesce(chr(10) || 'Fees: ' || fees || coalesce(' ' || currency, ''), '') || coalesce(chr(10) || 'Total: ' || total || coalesce(' ' || currency, ''), '')
+    || coalesce(chr(10) || 'Reference: ' || reference_id, '') || coalesce(chr(10) || 'Date: ' || strftime(date, '%-d %b %Y, %-I:%M %p'), '') || coalesce(chr(10) || 'Note: ' || notes, '')
+    || {" || ".join(f"coalesce(chr(10) || '{n}: ' || nullif(list_aggregate(list_filter([{', '.join(f'{s}_{c}' for c in _WHO)}], lambda x: x IS NOT NULL), 'string_agg', ', '), ''), '')" for n, s in (("From", "sender"), ("To", "receiver")))}
+    END AS reply FROM receipt_transactions""")
 def reply_text(spark: SparkSession, folder: str) -> DataFrame:
-    r = table(spark, folder, "receipts")
-    return r.select("receipt_id", messages.reply(r).alias("reply"))
+    r = table(spark, folder, "receipt_transactions")
+    sums = {n: r[c] for n, c in (("Amount", "amount"), ("Fees", "fees"), ("Total", "total"))}
+    who = {n: [r[f"{s}_{c}"] for c in _WHO] for n, s in (("From", "sender"), ("To", "receiver"))}
+    text = messages.reply(r["provider"], r["transfer_status"], r["transfer_type"], sums, r["currency"], r["reference_id"], F.date_format(r["date"], "yyyy-MM-dd'T'HH:mm:ss"), r["notes"], who)
+    return r.select("id", text.alias("reply"))
 
 
 @query()
@@ -336,3 +352,56 @@ def latency_described(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT user_id, count(value) AS n, round(avg(CASE WHEN value <= 5.0 THEN 1.0 ELSE 0.0 END), 9) AS share FROM events WHERE value IS NOT NULL GROUP BY user_id")
 def within_limit(spark: SparkSession, folder: str) -> DataFrame:
     return statistics.within(table(spark, folder, "events"), ["user_id"], "value", 5.0).withColumn("share", F.round("share", 9))
+
+
+# --- stated cases: the result of each is written beside it ----------------------------------------------------------------
+_READINGS = [
+    ("المرجع", 0.96, "jll", 0.4, "المرجع"), ("رقم", 0.60, "ioso", 0.95, "رقم"), ("ahmed9o@instapay", 0.99, "ahmed90@instapay", 0.98, "ahmed90@instapay"), ("To Instapay", 0.957, "ToInstapay", 0.999, "To Instapay"), ("MahmoudFA", 0.99, "Mahmoud F A", 0.98, "Mahmoud F A"),
+    ("Ling Expen  عيدية", 0.92, "Living Expenses - ", 0.8, "Living Expenses - عيدية"), ("Note ملاحظة", 0.9, "xq", 0.5, "Note ملاحظة"), (") EGP", 0.88, ") EGP", 0.9, "EGP"), ("عيدية Livng", 0.9, "- Living", 0.8, "عيدية - Living"),
+    (None, None, "Total", 0.7, "Total"), ("Total", 0.7, None, None, "Total"), ("Total", 0.9, "Tötal", 0.99, "Total"), ("احمد عبد الرحمن", 0.9, "x", 0.2, "احمد عبدالرحمن"), ("a9o@x", 0.2, "", 0.9, "a90@x"), ("Clear", 0.99, "Clean", 0.5, "Clear"),
+]
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    shown = lambda v: "NULL" if v is None else _sql(v) if isinstance(v, str) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) AS t({names})"
+
+
+@query(_values([(k, r[4]) for k, r in enumerate(_READINGS)], "case_no, text"))
+def reading_chosen(spark: SparkSession, folder: str) -> DataFrame:
+    """An Arabic and a Latin recogniser's readings of one line: which one counts."""
+    rows = spark.createDataFrame([(k, *r[:4]) for k, r in enumerate(_READINGS)], "case_no int, ar string, ar_conf double, en string, en_conf double")
+    return rows.select("case_no", readings.chosen(F.col("ar"), F.col("ar_conf"), F.col("en"), F.col("en_conf"))["text"].alias("text"))
+
+
+#: receipt: lines (text, x0, y0, x1, y1).
+_RECEIPTS = {
+    "labels": [("1,250.50 EGP", 300, 100, 620, 160), ("Transfer Amount", 340, 170, 580, 198), ("From", 60, 260, 120, 288), ("Nadia Example", 60, 300, 300, 328), ("To Mobile Wallet", 60, 400, 300, 428), ("01000000001", 60, 440, 260, 468), ("Reference", 60, 540, 190, 568), ("900000000001", 600, 540, 820, 568), ("Date: 23 Sep 2026 03:54 PM", 60, 600, 480, 628)],
+    "parties": [("Sender Name: Nadia Example", 60, 100, 460, 128), ("Receiver Number: 01000000001", 60, 150, 460, 178), ("Amount", 60, 200, 160, 228), ("501 EGP", 500, 200, 620, 228)],
+    "sentence": [("You transferred 9 EGP To 01000000002", 60, 100, 560, 128)],
+    "headline": [("45 EGP", 300, 100, 420, 180), ("From", 60, 260, 120, 288), ("Omar Example", 60, 300, 300, 328)],
+    "implied": [("Nadia Example", 60, 300, 300, 328), ("To", 60, 400, 100, 428), ("Omar Example", 60, 440, 300, 468), ("Amount: 7 EGP", 60, 600, 300, 628)],
+    "arabic": [("المبلغ", 500, 100, 600, 128), ("١٬٢٥٠٫٥٠ ج.م", 60, 100, 260, 128), ("الرقم المرجعي", 450, 200, 600, 228), ("900000000002", 60, 200, 260, 228)],
+}
+_EXPECTED = [
+    ("labels", 1250.5, "EGP", "Nadia Example", None, "01000000001", "Mobile Wallet", "900000000001", "23 Sep 2026 03:54 PM"), ("parties", 501.0, "EGP", "Nadia Example", None, "01000000001", None, None, None), ("sentence", 9.0, "EGP", None, None, "01000000002", None, None, None),
+    ("headline", 45.0, "EGP", "Omar Example", None, None, None, None, None), ("implied", 7.0, "EGP", "Nadia Example", "Omar Example", None, None, None, None), ("arabic", 1250.5, "EGP", None, None, None, None, "900000000002", None),
+]
+
+
+def _cases(spark: SparkSession) -> DataFrame:
+    rows = [(r, k, line[0], 0.95, *line[1:]) for r, lines in _RECEIPTS.items() for k, line in enumerate(lines)]
+    return extract.extracted(spark.createDataFrame(rows, "receipt_id string, line_no int, text string, score double, x0 int, y0 int, x1 int, y1 int"))
+
+
+@query(_values(_EXPECTED, "receipt_id, amount, currency, sender_name, receiver_name, receiver_phone, receiver_via, reference, datetime"))
+def receipt_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Receipts whose fields are stated."""
+    e = _cases(spark)
+    return e.select("receipt_id", F.col("amount").cast("double").alias("amount"), "currency", F.col("sender.name").alias("sender_name"), F.col("receiver.name").alias("receiver_name"), F.col("receiver.phone").alias("receiver_phone"), F.col("receiver.via").alias("receiver_via"), "reference", "datetime")
+
+
+@query(_values([(r[0], "extracted" if r[1] is not None else "no_data", r[3], r[5], '{"receiver":{"via":"Mobile Wallet"}}' if r[6] else None) for r in _EXPECTED], "receipt_id, extraction_status, sender_name, receiver_phone, other_data"))
+def store_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """The same receipts as rows of the store."""
+    return store.result_columns(_cases(spark)).select("receipt_id", "extraction_status", "sender_name", "receiver_phone", "other_data")
