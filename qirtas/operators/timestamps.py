@@ -115,10 +115,9 @@ def interpretations(value: str | None, tz: str | None, rule_cost: float = RULE_C
 
     Of a value without a time the seconds are midnight of the day as written. Wall time that occurs twice gives both
     instants, the second at rule_cost; skipped wall time moves forward by what was skipped. A day or a time that does not
-    exist gives no interpretation. Null, blank and text without a date give an empty list; texts over 200 characters state
-    no single time and give one too.
+    exist gives no interpretation. Null, blank and text without a date give an empty list. Values may be of any length.
     """
-    if not value or len(value) > 200:
+    if not value:
         return []
     text = plain_stamp(value)
     out: list[Interpretation] = []

@@ -87,3 +87,8 @@ def test_context_decides_without_the_rule_and_partitions_do_not_matter(spark, pa
         for (_, k, v), states in zip([d for d in data if d[0] == s], records):
             chosen.append([x for x in states if datetime.fromtimestamp(x[1], timezone.utc).strftime("%Y-%m-%d") == out[s, k]])
         assert brute(chosen) == pytest.approx(brute(records))
+
+
+def test_long_values():
+    for value, want in (("1" * 200_000, 0), (" " * 100_000 + "2024-01-02" + " " * 100_000, 1), ("2024-" * 50_000, 0), ("2024-01-02T10:11:12." + "1" * 100_000, 1)):
+        assert len(S.interpretations(value, None)) == want
