@@ -311,19 +311,19 @@ def readings(names: DataFrame, known: DataFrame, trade: DataFrame) -> DataFrame:
 
 
 def gram_vectors(keys: DataFrame) -> DataFrame:
-    """key, gram, df, weight: unit vectors of the padded bigrams and trigrams of each key, weighted by rarity among keys."""
+    """key, n, gram, df, weight: unit vectors of the padded bigrams and trigrams of each key, weighted by rarity among keys."""
     padded = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
     grams = F.expr("array_distinct(concat(transform(sequence(1, length(p) - 1), k -> substring(p, k, 2)), transform(sequence(1, greatest(length(p) - 2, 1)), k -> substring(p, k, 3))))")
-    flat = keys.select("key", padded.alias("p")).where(F.length("p") >= 4).select("key", F.explode(grams).alias("gram"))
+    flat = keys.select("key", "n", padded.alias("p")).where(F.length("p") >= 4).select("key", "n", F.explode(grams).alias("gram"))
     df = flat.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     total = keys.agg(F.count(F.lit(1)).alias("total"))
-    weighted = flat.join(df, "gram").crossJoin(F.broadcast(total)).select("key", "gram", "df", F.log(1 + F.col("total") / F.col("df")).alias("w"))
+    weighted = flat.join(df, "gram").crossJoin(F.broadcast(total)).select("key", "n", "gram", "df", F.log(1 + F.col("total") / F.col("df")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("key")))
     return weighted.withColumn("weight", F.col("w") / F.greatest(norm, F.lit(1e-9)))
 
 
 def cosine_pairs(keys: DataFrame) -> DataFrame:
-    """a, b, cosine, edits of all pairs of keys (a < b) at or above KEY_COSINE and within KEY_EDITS; exact, for keys of any
+    """a, b, cosine, edits, na, nb of all pairs of keys (a < b; key, n) at or above KEY_COSINE and within KEY_EDITS; exact, for keys of any
     frequency. Two letters exchanged are one edit.
 
     The rarest n-grams of a key that together hold more than 1 - KEY_COSINE² of its squared length are its prefix: of the
@@ -336,12 +336,13 @@ def cosine_pairs(keys: DataFrame) -> DataFrame:
     b = prefix.select("gram", F.col("key").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= KEY_EDITS)
     met = prefix.withColumnRenamed("key", "a").join(b, "gram").where(near).select("a", "b").where(F.levenshtein("a", "b", KEY_EDITS) >= 0).distinct()
-    per = vectors.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("v"))
-    both = met.join(per.select(F.col("key").alias("a"), F.col("v").alias("va")), "a").join(per.select(F.col("key").alias("b"), F.col("v").alias("vb")), "b")
+    per = vectors.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("v"), F.first("n").alias("n"))
+    side = lambda c: per.select(F.col("key").alias(c), F.col("v").alias(f"v{c}"), F.col("n").alias(f"n{c}"))
+    both = met.join(side("a"), "a").join(side("b"), "b")
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("vb"), e["key"]), F.lit(0.0)))
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
     edits = F.when(letters("a") == letters("b"), 1).otherwise(F.levenshtein("a", "b", KEY_EDITS))
-    return both.select("a", "b", F.round(dot, 6).alias("cosine"), edits.alias("edits")).where(F.col("cosine") >= KEY_COSINE)
+    return both.select("a", "b", F.round(dot, 6).alias("cosine"), edits.alias("edits"), "na", "nb").where(F.col("cosine") >= KEY_COSINE)
 
 
 def _further(a: Column, b: Column) -> Column:
@@ -417,7 +418,7 @@ def average_linkage(items: DataFrame, pairs: DataFrame, least: float = LINK) ->
     a, b = size.select(F.col("c").alias("a"), F.col("rows").alias("ra")), size.select(F.col("c").alias("b"), F.col("rows").alias("rb"))
     edges = written(pairs.join(a, "a").join(b, "b").select("a", "b", "ra", "rb", (F.col("s") * F.col("ra") * F.col("rb")).alias("w")), "edges")
     sim = F.round(F.col("w") / (F.col("ra") * F.col("rb")), 9)
-    place = written(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct().withColumn("cluster", F.col("item")), "clusters")
+    place = edges.select(F.explode(F.array("a", "b")).alias("item")).distinct().withColumn("cluster", F.col("item"))
     while True:
         strong = edges.where(sim >= least).withColumn("o", F.struct(sim, F.xxhash64("a", "b"), "a", "b"))
         best = strong.select(F.explode(F.array("a", "b")).alias("c"), "o", "a", "b", "ra", "rb").groupBy("c").agg(F.max_by(F.struct("a", "b", "ra", "rb"), "o").alias("n"))
@@ -448,11 +449,11 @@ def linked(parties: DataFrame, cosine: bool = True) -> DataFrame:
     rows = _reading_keys(readings(names, known, trades(names, known)))
     what = ["kind", "family", "given", "ini", "further", "trades"]
     certain = F.when(F.col("kind") == "O", F.size("trades") > 0).otherwise(F.col("given").rlike(_IS_ARABIC))
-    r = written(rows.groupBy(*what).agg(F.sum("n").alias("rows")).withColumn("certain", certain).withColumn("r", F.monotonically_increasing_id()), "distinct-readings")
+    # a reading's number comes from what it says, so that ties fall the same way in every run
+    r = written(rows.groupBy(*what).agg(F.sum("n").alias("rows")).withColumn("certain", certain).withColumn("r", F.xxhash64(*what)), "distinct-readings")
     families = written(r.groupBy(F.col("family").alias("key")).agg(F.sum("rows").alias("n")), "families")
     if cosine:
-        n = lambda c: families.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"))
-        pairs_ = cosine_pairs(families).join(n("a"), "a").join(n("b"), "b").where(F.greatest("na", "nb") >= RARER * F.greatest("edits", F.lit(1)) * F.least("na", "nb"))
+        pairs_ = cosine_pairs(families).where(F.greatest("na", "nb") >= RARER * F.greatest("edits", F.lit(1)) * F.least("na", "nb"))
         both = F.explode(F.array(F.struct(F.col("a").alias("family"), F.col("b").alias("target")), F.struct(F.col("b").alias("family"), F.col("a").alias("target"))))
         near = written(pairs_.select(both.alias("p"), "cosine", "edits").select("p.*", "cosine", "edits"), "near")
     else:
